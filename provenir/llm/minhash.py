@@ -8,7 +8,7 @@ sizes, and full sets of both whole texts confirm.
 
 Groups are never expanded into all pairs. Equal sets become one representative first. In a bucket of a band each member is
 compared with the bucket's smallest and largest id. Buckets whose members then still belong to several components
-are compared in full, in blocks of CHUNK x CHUNK sketches, and only pairs across components that the estimate keeps
+are compared in full, in blocks of CHUNK x CHUNK documents, and only linked pairs across components
 leave a block. Thus every pair that shares a band is compared or already connected. A pair of similarity 0.8 shares none of
 32 bands with probability 5e-8; one is lost by the estimate at five standard deviations.
 """
@@ -79,20 +79,27 @@ def registers(s: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(x) / np.log(BASE)), 0, LIMIT + 1).astype(np.uint16)
 
 
+def _slope(j: np.ndarray, more, less, same, u, v) -> np.ndarray:
+    """Derivative of the log-likelihood of the counts of greater, less and equal registers by the similarity; it falls."""
+    c, ln = (BASE - 1) / BASE, np.log(BASE)
+    xa, xb = np.maximum(u - v * j, 1e-12), np.maximum(v - u * j, 1e-12)
+    pa_, pb_ = -np.log1p(-xa * c) / ln, -np.log1p(-xb * c) / ln
+    da, db = -v * c / (1 - xa * c) / ln, -u * c / (1 - xb * c) / ln
+    return more * da / pa_ + less * db / pb_ - same * (da + db) / np.maximum(1 - pa_ - pb_, 1e-12)
+
+
+def _counts(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple:
+    more, less = (a > b).sum(-1), (a < b).sum(-1)
+    return more, less, a.shape[-1] - more - less, na / (na + nb), nb / (na + nb)
+
+
 def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """Maximum-likelihood Jaccard similarity of rows of registers, given the sets' sizes."""
-    more, less = (a > b).sum(-1), (a < b).sum(-1)
-    same = a.shape[-1] - more - less
-    u, v = na / (na + nb), nb / (na + nb)
-    c, ln = (BASE - 1) / BASE, np.log(BASE)
-    lo, hi = np.zeros(np.shape(u)), np.minimum(u / v, v / u)
+    seen = _counts(a, b, na, nb)
+    lo, hi = np.zeros(np.shape(seen[3])), np.minimum(seen[3] / seen[4], seen[4] / seen[3])
     for _ in range(24):
         j = (lo + hi) / 2
-        xa, xb = np.maximum(u - v * j, 1e-12), np.maximum(v - u * j, 1e-12)
-        pa_, pb_ = -np.log1p(-xa * c) / ln, -np.log1p(-xb * c) / ln
-        da, db = -v * c / (1 - xa * c) / ln, -u * c / (1 - xb * c) / ln
-        rest = np.maximum(1 - pa_ - pb_, 1e-12)
-        up = more * da / pa_ + less * db / pb_ - same * (da + db) / rest > 0
+        up = _slope(j, *seen) > 0
         lo, hi = np.where(up, j, lo), np.where(up, hi, j)
     return (lo + hi) / 2
 
@@ -119,6 +126,12 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), make, "doc_id long, n_shingles long, h1 long, h2 long, regs binary")
 
 
+def _keys(bands: np.ndarray) -> np.ndarray:
+    """Bucket keys of rows of bands: four registers of 16 bits are one number of 64."""
+    key = (bands * np.uint64(0x9E3779B97F4A7C15)) ^ BANDS
+    return ((key ^ (key >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+
+
 def _band_rows(sk: DataFrame) -> DataFrame:
     """(key, id): a row for each band of each sketch."""
 
@@ -126,21 +139,21 @@ def _band_rows(sk: DataFrame) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 regs = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64).reshape(b.num_rows, -1)
-                key = (regs * np.uint64(0x9E3779B97F4A7C15)) ^ BANDS
-                key = (key ^ (key >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
                 ids = np.repeat(b.column(0).to_numpy(zero_copy_only=False), regs.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(ids)], ["key", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(_keys(regs).ravel()), pa.array(ids)], ["key", "id"])
 
     return sk.select("doc_id", "regs").mapInArrow(run, "key long, id long")
 
 
 def _likely(percent: int, a, b, na, nb) -> np.ndarray:
-    """Pairs that sizes allow and whose estimate is within MARGIN standard deviations of the threshold."""
+    """Pairs that sizes allow and whose estimate is within MARGIN standard deviations of the threshold.
+
+    The likelihood has one maximum, so the estimate is above a value where the likelihood still rises there.
+    """
     t = percent / 100
     na, nb = np.asarray(na, float), np.asarray(nb, float)
-    return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (
-        estimate(a, b, na, nb) >= t - MARGIN * np.sqrt(t * (1 - t) / REGISTERS)
-    )
+    least = t - MARGIN * np.sqrt(t * (1 - t) / REGISTERS)
+    return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (_slope(least, *_counts(a, b, na, nb)) >= 0)
 
 
 def _estimated(pairs: DataFrame, sk: DataFrame, percent: int) -> DataFrame:
@@ -156,25 +169,29 @@ def _estimated(pairs: DataFrame, sk: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one("b", "b"), "b").join(one("a", "a"), "a").select("a", "b", "ra", "rb", "na", "nb").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs whose full sets meet the threshold. Only texts that stand in a pair are joined to pairs."""
-    need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.select("doc_id", "text").join(need, "doc_id", "left_semi")
+def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(doc_id, s): full shingle sets, as bytes, of the documents whose id is in ``ids``."""
+
+    def make():
+        known = _Words()
+        return lambda b: {"doc_id": b["doc_id"], "s": [shingle_set(t, size, known).tobytes() for t in b["text"]]}
+
+    return map_batches(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("doc_id", "text"), make, "doc_id long, s binary")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose full sets meet the threshold."""
     rows = (
-        pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-        .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-        .select("a", "b", "ta", "tb")
+        pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
+        .join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
+        .select("a", "b", "sa", "sb")
     )
 
     def run(batches):
-        known = _Words()
-        last: tuple = (None, None)
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if x != last[0]:
-                    last = (x, shingle_set(x, size, known))
-                s, t = last[1], shingle_set(y, size, known)
+                s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 keep.append(100 * both >= percent * (len(s) + len(t) - both) and both > 0)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -183,23 +200,37 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
 
 
 def _blocks(members: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs across components inside buckets: (key, id, label, n, of) rows dealt to pairs of chunks."""
+    """Linked pairs across components inside buckets, from rows (key, id, label, n, of, regs, s) dealt to pairs of chunks.
+
+    A pair is looked at in the bucket of the first band that it shares. Its sets are compared by their upper 32 bits, which can only
+    bring elements together; pairs within two elements of the threshold leave for the comparison in full.
+    """
     k = F.greatest(F.ceil(F.col("of") / CHUNK).cast("int"), F.lit(1))
     m = members.withColumn("k", k).withColumn("c", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
     m = m.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    m = m.select("key", F.least("c", "o").alias("c1"), F.greatest("c", "o").alias("c2"), "id", "label", "n_shingles", "regs")
+    m = m.select("key", F.least("c", "o").alias("c1"), F.greatest("c", "o").alias("c2"), "id", "label", "n_shingles", "regs", "s")
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", ignore_index=True)
         regs = np.frombuffer(b"".join(pdf.regs), np.uint16).reshape(len(pdf), -1)
+        bands, keys = regs.view(np.uint64), _keys(regs.view(np.uint64))
+        mine = np.argmax(keys == np.int64(pdf.key.iloc[0]), axis=1)  # the bucket's band
         ids, lab, n = pdf.id.to_numpy(), pdf.label.to_numpy(), pdf.n_shingles.to_numpy(float)
+        sets = [np.unique((np.frombuffer(x, np.uint64) >> np.uint64(32)).astype(np.uint32)) for x in pdf.s]
         a, b = [], []
         for i in range(len(pdf) - 1):
             far = np.flatnonzero(lab[i + 1 :] != lab[i]) + i + 1
             if len(far):
-                ok = _likely(percent, regs[i][None, :], regs[far], np.full(len(far), n[i]), n[far])
-                b.append(ids[far[ok]])
-                a.append(np.full(int(ok.sum()), ids[i]))
+                far = far[np.argmax(bands[far] == bands[i], axis=1) == mine[i]]
+            if len(far):
+                far = far[_likely(percent, regs[i][None, :], regs[far], np.full(len(far), n[i]), n[far])]
+            if len(far):
+                flat, own = np.concatenate([sets[j] for j in far]), sets[i]
+                at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+                both = np.add.reduceat((own[at] == flat).astype(np.int64), np.cumsum([0, *(len(sets[j]) for j in far[:-1])]))
+                ok = far[100 * (both + 2) >= percent * (len(own) + np.array([len(sets[j]) for j in far]) - both - 2)]
+                b.append(ids[ok])
+                a.append(np.full(len(ok), ids[i]))
         return pd.DataFrame({"a": np.concatenate(a or [[]]).astype("int64"), "b": np.concatenate(b or [[]]).astype("int64")})
 
     return m.groupBy("key", "c1", "c2").applyInPandas(block, "a long, b long").distinct()
@@ -229,7 +260,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     members = scratch.table(rows.join(buckets, "key"))
     star = members.select(F.col("lo").alias("a"), F.col("id").alias("b")).union(members.select("id", "hi")).where("a <> b").distinct()
     tried = scratch.table(_estimated(star, firsts, percent))
-    edges = scratch.table(_confirmed(tried, docs, size, percent))
+    sets = scratch.table(_sets(docs, members.select(F.col("id").alias("doc_id")).distinct(), size))
+    edges = scratch.table(_confirmed(tried, sets, percent))
     label = connected_components(edges, scratch)
 
     # Buckets that still hold several components.
@@ -237,9 +269,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     split = scratch.table(named.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count("*").alias("of")).where("l1 <> l2"))
     if not split.isEmpty():
         rest = named.join(split.select("key", "of"), "key").join(firsts.select(F.col("doc_id").alias("id"), "n_shingles", "regs"), "id")
-        more = scratch.table(_blocks(rest, percent).join(tried, ["a", "b"], "left_anti"))
+        rest = rest.join(sets.withColumnRenamed("doc_id", "id"), "id")
+        more = scratch.table(_blocks(rest, percent))
         if not more.isEmpty():
-            label = connected_components(edges.union(scratch.table(_confirmed(more, docs, size, percent))), scratch)
+            label = connected_components(edges.union(scratch.table(_confirmed(more, sets, percent))), scratch)
 
     ends = reps.join(label.select(F.col("id").alias("rep"), "label"), "rep", "left").select("h1", "h2", F.coalesce("label", "rep").alias("component"))
     ends = parts.select("h1", "h2", "salt").join(ends, ["h1", "h2"])
