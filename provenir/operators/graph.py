@@ -34,3 +34,55 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
             scratch.drop(both)
             return new.select("id", "label")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def ancestors(nodes: DataFrame, scratch: Scratch, max_depth: int = 30) -> DataFrame:
+    """Closure (id, ancestor, depth) of ``nodes`` (id, parent); depth 0 is the node itself."""
+    up = nodes.where("parent IS NOT NULL").select(F.col("id").alias("ancestor"), "parent")
+    out = level = scratch.table(nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth")))
+    for d in range(1, max_depth + 1):
+        level = scratch.table(level.join(up, "ancestor").select("id", F.col("parent").alias("ancestor"), F.lit(d).alias("depth")))
+        if level.isEmpty():
+            return out
+        out = out.union(level)
+    raise RuntimeError("deeper than max_depth, or a cycle")
+
+
+def most_specific(sets: DataFrame, closure: DataFrame) -> DataFrame:
+    """(group_id, id): for each group of nodes that lie on one root-leaf chain, the deepest; other groups have null."""
+    s = sets.select("group_id", "id").distinct()
+    n = s.groupBy("group_id").agg(F.count("*").alias("n"))
+    held = s.join(closure, "id").join(s.select("group_id", F.col("id").alias("ancestor")), ["group_id", "ancestor"])
+    full = held.groupBy("group_id", "id").agg(F.count("*").alias("k")).join(n, "group_id").where("k = n")
+    return n.select("group_id").join(full.select("group_id", "id"), "group_id", "left")
+
+
+def distances(edges: DataFrame, seeds: DataFrame, scratch: Scratch, max_depth: int) -> DataFrame:
+    """(id, depth, origin) of nodes within max_depth of the seeds (id, pos); equal depths go to the earliest seed."""
+    e = edges.select(F.col("a").alias("id"), F.col("b").alias("next"))
+    e = e.union(e.select(F.col("next"), F.col("id"))).distinct()
+    seen = frontier = scratch.table(seeds.groupBy("id").agg(F.min("pos").alias("pos")).select("id", F.lit(0).alias("depth"), "pos"))
+    for d in range(1, max_depth + 1):
+        step = frontier.join(e, "id").groupBy(F.col("next").alias("id")).agg(F.min("pos").alias("pos"))
+        frontier = scratch.table(step.join(seen, "id", "left_anti").select("id", F.lit(d).alias("depth"), "pos"))
+        if frontier.isEmpty():
+            break
+        seen = seen.union(frontier)
+    return seen.select("id", "depth", F.col("pos").alias("origin"))
+
+
+def generations(edges: DataFrame, home: DataFrame, scratch: Scratch, cap: int = 12) -> DataFrame:
+    """(id, generation) over edges (a, b, step): a reaches b with step +1 (parent), -1 (child) or 0 (spouse); nearest to 0 wins.
+
+    States are (id, generation), so cycles end; equal distance goes to the state found first, then to the older generation.
+    """
+    seen = frontier = scratch.table(home.select("id", F.lit(0).alias("generation"), F.lit(0).alias("round")))
+    for k in range(1, 4 * cap):
+        step = frontier.join(edges.select(F.col("a").alias("id"), "b", "step"), "id")
+        step = step.select(F.col("b").alias("id"), (F.col("generation") + F.col("step")).alias("generation")).where(F.abs("generation") <= cap).distinct()
+        frontier = scratch.table(step.join(seen, ["id", "generation"], "left_anti").select("id", "generation", F.lit(k).alias("round")))
+        if frontier.isEmpty():
+            break
+        seen = seen.union(frontier)
+    best = F.min_by("generation", F.struct(F.abs("generation"), "round", -F.col("generation")))
+    return seen.groupBy("id").agg(best.alias("generation"))
