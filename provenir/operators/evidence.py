@@ -86,9 +86,10 @@ def blocked_pairs(left: DataFrame, right: DataFrame, blocks: list[tuple[Column,
 
     Each row has one entry for each distinct key, and a pair counts in the first key that it shares.
     """
-    side = lambda df, p, k: df.select(*[F.col(c).alias(p + c) for c in df.columns]).withColumn(
-        p + "keys", F.array_distinct(F.filter(F.array(*[F.concat(F.lit(f"{i}:"), b[k]) for i, b in enumerate(blocks)]), lambda x: x.isNotNull()))
-    )
+    def side(df: DataFrame, p: str, k: int) -> DataFrame:
+        keys = F.array_distinct(F.filter(F.array(*[F.concat(F.lit(f"{i}:"), b[k]) for i, b in enumerate(blocks)]), lambda x: x.isNotNull()))
+        return df.select(*[F.col(c).alias(p + c) for c in df.columns], keys.alias(p + "keys"))
+
     a = side(left, "l_", 0).withColumn("key__", F.explode("l_keys"))
     b = side(right, "r_", 1).withColumn("key__", F.explode("r_keys"))
     return a.join(b, "key__").where((F.element_at(F.array_intersect("l_keys", "r_keys"), 1) == F.col("key__")) & fits).drop("key__", "l_keys", "r_keys")
