@@ -13,7 +13,7 @@ def archive_files(spark: SparkSession, inbox: str, archive: str, checkpoint: str
     The checkpoint remembers files, and an anti-join on the hash drops contents that came under another name; a batch that is
     repeated after a failure writes nothing twice.
     """
-    files = spark.readStream.format("binaryFile").load(inbox)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(inbox)
 
     def keep(batch: DataFrame, _: int) -> None:
         new = batch.select(F.sha2("content", 256).alias("sha256"), "path", F.col("length").alias("bytes"), "content")
