@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..session import Scratch
-from .common import map_batches, words
+from .common import map_batches
 
 REGISTERS, ROWS = 128, 4
 BASE, RATE, LIMIT = 1.001, 20.0, 65_534
@@ -39,7 +39,8 @@ def _draws(seed: int, n: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-MULTIPLY, ADD = _draws(11, REGISTERS), _draws(12, REGISTERS)
+#: Each register draws from a fingerprint's upper half by its own odd multiplier; 32-bit products run in vector instructions.
+MULTIPLY, ADD = ((_draws(seed, REGISTERS) & np.uint64(_MASK >> 32)).astype(np.uint32) for seed in (11, 12))
 BANDS = _draws(13, REGISTERS // ROWS)
 
 
@@ -53,7 +54,7 @@ class _Words(dict):
 
 def shingle_set(text: str | None, size: int, known: dict) -> np.ndarray:
     """Sorted distinct fingerprints of the shingles of ``size`` words; A-Z count as a-z."""
-    ws = words(text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")) if text else []
+    ws = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not ws:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(known.__getitem__, ws), np.uint64, len(ws))
@@ -63,18 +64,20 @@ def shingle_set(text: str | None, size: int, known: dict) -> np.ndarray:
     for i in range(k):
         s = (s ^ h[i : i + n]) * np.uint64(0xBF58476D1CE4E5B9)
         s ^= s >> np.uint64(29)
-    return np.unique(s)
+    s.sort()
+    return s[np.concatenate(([True], s[1:] != s[:-1]))]
 
 
 def registers(s: np.ndarray) -> np.ndarray:
     """SetSketch registers of a set of fingerprints; an empty set has zeros."""
     if not len(s):
         return np.zeros(REGISTERS, np.uint16)
-    least = np.full(REGISTERS, _MASK >> 32, np.uint64)
-    for k in range(0, len(s), 2048):
-        v = MULTIPLY[:, None] * s[None, k : k + 2048]
+    x = (s >> np.uint64(32)).astype(np.uint32)
+    least = np.full(REGISTERS, _MASK >> 32, np.uint32)
+    for k in range(0, len(x), 2048):
+        v = MULTIPLY[:, None] * x[None, k : k + 2048]
         v += ADD[:, None]
-        least = np.minimum(least, v.min(axis=1) >> np.uint64(32))
+        np.minimum(least, v.min(axis=1), out=least)
     x = -np.log1p(-(least + 0.5) / 2.0**32) / RATE
     return np.clip(np.floor(1 - np.log(x) / np.log(BASE)), 0, LIMIT + 1).astype(np.uint16)
 
