@@ -16,7 +16,6 @@ leave a block. Thus every pair that shares a band is compared or already connect
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -173,13 +172,19 @@ def _estimated(pairs: DataFrame, sk: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(doc_id, s): full shingle sets, as bytes, of the documents whose id is in ``ids``."""
+    """(doc_id, s, half): full shingle sets of the documents whose id is in ``ids``, and the distinct upper halves, as sorted bytes."""
 
     def make():
         known = _Words()
-        return lambda b: {"doc_id": b["doc_id"], "s": [shingle_set(t, size, known).tobytes() for t in b["text"]]}
 
-    return map_batches(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("doc_id", "text"), make, "doc_id long, s binary")
+        def fn(b: dict) -> dict:
+            sets = [shingle_set(t, size, known) for t in b["text"]]
+            halves = [(s >> np.uint64(32)).astype(np.uint32) for s in sets]
+            return {"doc_id": b["doc_id"], "s": [s.tobytes() for s in sets], "half": [h[np.append(True, h[1:] != h[:-1])[: len(h)]].tobytes() for h in halves]}
+
+        return fn
+
+    return map_batches(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("doc_id", "text"), make, "doc_id long, s binary, half binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -203,40 +208,55 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _blocks(members: DataFrame, percent: int) -> DataFrame:
-    """Linked pairs across components inside buckets, from rows (key, id, label, n, of, regs, s) dealt to pairs of chunks.
+    """Linked pairs across components inside buckets, from rows (key, id, label, n_shingles, of, regs, half) dealt to pairs of chunks.
 
-    A pair is looked at in the bucket of the first band that it shares. Its sets are compared by their upper 32 bits, which can only
-    bring elements together; pairs within two elements of the threshold leave for the comparison in full.
+    A pair is looked at in the bucket of the first band that it shares. Its sets are compared by the upper halves of their elements. A
+    set of n elements with h distinct halves hides at most n - h of them, which bounds the intersection from above; pairs that
+    may then meet the threshold leave for the comparison in full.
     """
     k = F.greatest(F.ceil(F.col("of") / CHUNK).cast("int"), F.lit(1))
     m = members.withColumn("k", k).withColumn("c", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
     m = m.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    m = m.select("key", F.least("c", "o").alias("c1"), F.greatest("c", "o").alias("c2"), "id", "label", "n_shingles", "regs", "s")
-
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", ignore_index=True)
-        regs = np.frombuffer(b"".join(pdf.regs), np.uint16).reshape(len(pdf), -1)
-        bands, keys = regs.view(np.uint64), _keys(regs.view(np.uint64))
-        mine = np.argmax(keys == np.int64(pdf.key.iloc[0]), axis=1)  # the bucket's band
-        ids, lab, n = pdf.id.to_numpy(), pdf.label.to_numpy(), pdf.n_shingles.to_numpy(float)
-        sets = [np.unique((np.frombuffer(x, np.uint64) >> np.uint64(32)).astype(np.uint32)) for x in pdf.s]
+    m = m.select("key", F.least("c", "o").alias("c1"), F.greatest("c", "o").alias("c2"), "id", "label", "n_shingles", "regs", "half")
+    none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+
+    def block(t: pa.Table) -> pa.Table:
+        lab = t["label"].to_numpy()
+        if (lab == lab[0]).all():
+            return none
+        order = np.argsort(t["id"].to_numpy(), kind="stable")
+        t = t.take(pa.array(order)).combine_chunks()
+        ids, lab, n = t["id"].to_numpy(), lab[order], t["n_shingles"].to_numpy()
+        regs = np.frombuffer(b"".join(t["regs"].to_pylist()), np.uint16).reshape(len(t), -1)
+        bands = regs.view(np.uint64)
+        mine = np.argmax(_keys(bands) == np.int64(t["key"][0].as_py()), axis=1)  # the bucket's band
+        half, sets = t["half"], {}
+
+        def load(j: int) -> np.ndarray:
+            if j not in sets:
+                sets[j] = np.frombuffer(half[j].as_buffer(), np.uint32)
+            return sets[j]
+
         a, b = [], []
-        for i in range(len(pdf) - 1):
+        for i in range(len(ids) - 1):
             far = np.flatnonzero(lab[i + 1 :] != lab[i]) + i + 1
             if len(far):
                 far = far[np.argmax(bands[far] == bands[i], axis=1) == mine[i]]
             if len(far):
                 far = far[_likely(percent, regs[i][None, :], regs[far], np.full(len(far), n[i]), n[far])]
             if len(far):
-                flat, own = np.concatenate([sets[j] for j in far]), sets[i]
+                own, others = load(i), [load(int(j)) for j in far]
+                size = np.array([len(x) for x in others])
+                flat = np.concatenate(others)
                 at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
-                both = np.add.reduceat((own[at] == flat).astype(np.int64), np.cumsum([0, *(len(sets[j]) for j in far[:-1])]))
-                ok = far[100 * (both + 2) >= percent * (len(own) + np.array([len(sets[j]) for j in far]) - both - 2)]
-                b.append(ids[ok])
+                both = np.add.reduceat((own[at] == flat).astype(np.int64), np.cumsum(size) - size)
+                most = both + np.minimum(n[i] - len(own), n[far] - size)
+                ok = far[100 * most >= percent * (n[i] + n[far] - most)]
                 a.append(np.full(len(ok), ids[i]))
-        return pd.DataFrame({"a": np.concatenate(a or [[]]).astype("int64"), "b": np.concatenate(b or [[]]).astype("int64")})
+                b.append(ids[ok])
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)}) if a else none
 
-    return m.groupBy("key", "c1", "c2").applyInPandas(block, "a long, b long").distinct()
+    return m.groupBy("key", "c1", "c2").applyInArrow(block, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -272,7 +292,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     split = scratch.table(named.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count("*").alias("of")).where("l1 <> l2"))
     if not split.isEmpty():
         rest = named.join(split.select("key", "of"), "key").join(firsts.select(F.col("doc_id").alias("id"), "n_shingles", "regs"), "id")
-        rest = rest.join(sets.withColumnRenamed("doc_id", "id"), "id")
+        rest = rest.join(sets.select(F.col("doc_id").alias("id"), "half"), "id")
         more = scratch.table(_blocks(rest, percent))
         if not more.isEmpty():
             label = connected_components(edges.union(scratch.table(_confirmed(more, sets, percent))), scratch)
