@@ -186,5 +186,6 @@ def pack(docs: DataFrame, scratch, tokenizer: str, size: int = SIZE) -> DataFram
                 offs.append(offsets[o])
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(ids, pa.int64()), pa.array(offs, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    placed = p.join(per.select("part", "length", "before"), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", "rank", "before")
+    # Offsets are a row for each task and length, so they grow with the input: shuffled on both sides, never broadcast.
+    placed = p.join(per.select("part", "length", "before").hint("merge"), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", "rank", "before")
     return placed.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
