@@ -124,3 +124,16 @@ def fill_from(kept: DataFrame, others: DataFrame, by: list[str], columns: list[s
     best = others.select(*by, *[F.first(c, ignorenulls=True).over(w).alias(c + "__") for c in columns]).dropDuplicates(by)
     out = kept.join(best, by, "left")
     return out.select(*[F.coalesce(c, c + "__").alias(c) if c in columns else F.col(c) for c in kept.columns])
+
+
+def checklist(subjects: DataFrame, rules: list[tuple[str, Column]], found: DataFrame, key: str) -> DataFrame:
+    """(key, rule, status) for each subject and rule: held, cited, missing or n/a.
+
+    ``rules`` are names with the condition under which they apply to a subject; ``found`` (key, rule, held) has the citations.
+    A citation counts whether the rule applies or not: held where one of them is, else cited. Without any, the status is
+    missing where the rule applies and n/a where it does not or cannot be told. Citations of unknown subjects are ignored.
+    """
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.coalesce(applies, F.lit(False)).alias("applies")) for n, applies in rules])).alias("r")
+    best = found.groupBy(key, "rule").agg(F.max(F.coalesce("held", F.lit(False))).alias("held"))
+    status = F.when(F.col("held"), "held").when(~F.col("held"), "cited").when(F.col("applies"), "missing").otherwise("n/a")
+    return subjects.select(key, rows).select(key, "r.*").join(best, [key, "rule"], "left").select(key, "rule", status.alias("status"))

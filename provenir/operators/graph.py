@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import Scratch
@@ -86,3 +86,48 @@ def generations(edges: DataFrame, home: DataFrame, scratch: Scratch, cap: int =
         seen = seen.union(frontier)
     best = F.min_by("generation", F.struct(F.abs("generation"), "round", -F.col("generation")))
     return seen.groupBy("id").agg(best.alias("generation"))
+
+
+def simple_paths(edges: DataFrame, pairs: DataFrame, scratch: Scratch, slack: int = 2, max_depth: int = 12) -> DataFrame:
+    """(start, goal, path) of all simple paths for each of ``pairs`` (start, goal) within ``slack`` links of its shortest.
+
+    Distances to the goals come first, so a step that cannot reach its goal within the budget is never made. Pairs with no
+    chain of at most max_depth links give none, as do null ends; a pair of equal ends has the path of that node alone.
+    """
+    ends = edges.select(F.col("a").alias("id"), F.col("b").alias("next")).where("id <> next")
+    e = scratch.table(ends.union(ends.select("next", "id")).distinct())
+    p = scratch.table(pairs.select("start", "goal").where("start IS NOT NULL AND goal IS NOT NULL").distinct())
+    far = frontier = scratch.table(p.select("goal", F.col("goal").alias("id"), F.lit(0).alias("depth")).distinct())
+    for d in range(1, max_depth + 1):
+        step = frontier.join(e, "id").select("goal", F.col("next").alias("id")).distinct()
+        frontier = scratch.table(step.join(far, ["goal", "id"], "left_anti").withColumn("depth", F.lit(d)))
+        if frontier.isEmpty():
+            break
+        far = far.union(frontier)
+    budget = p.join(far.withColumnRenamed("id", "start"), ["goal", "start"]).select("start", "goal", (F.col("depth") + slack).alias("budget"))
+    walk = scratch.table(budget.select("start", "goal", "budget", F.col("start").alias("id"), F.array("start").alias("path")))
+    done = walk.where("id = goal")
+    after = far.select("goal", F.col("id").alias("next"), "depth")
+    while not walk.where("id <> goal").isEmpty():  # a path is at most max_depth + slack links long
+        step = walk.where("id <> goal").join(e, "id").where("NOT array_contains(path, next)").join(after, ["goal", "next"])
+        step = step.where(F.size("path") + F.col("depth") <= F.col("budget"))
+        walk = scratch.table(step.select("start", "goal", "budget", F.col("next").alias("id"), F.array_append("path", F.col("next")).alias("path")))
+        done = done.union(walk.where("id = goal"))
+    return done.select("start", "goal", "path")
+
+
+def path_standing(paths: DataFrame, links: DataFrame) -> DataFrame:
+    """(start, goal, path, n_links, weakest, owed, place) for ``paths`` by the rank of their ``links`` (a, b, rank), 0 strongest.
+
+    weakest: the greatest rank among links that have one, null where none has; owed: links without a rank. place: fewest links,
+    then the strongest weakest link, then the path. Of a link named more than once, either way round, the strongest rank counts.
+    """
+    both = links.select("a", "b", "rank").union(links.select("b", "a", "rank")).groupBy("a", "b").agg(F.min("rank").alias("rank"))
+    n = F.size("path") - 1
+    step = F.transform(F.sequence(F.lit(1), n), lambda k: F.struct(F.get("path", k - 1).alias("a"), F.get("path", k).alias("b")))
+    steps = paths.select("start", "goal", "path", F.explode_outer(F.when(n > 0, step)).alias("s")).select("start", "goal", "path", "s.a", "s.b")
+    stood = steps.join(both, ["a", "b"], "left").groupBy("start", "goal", "path").agg(
+        F.max("rank").alias("weakest"), F.count_if(F.col("a").isNotNull() & F.col("rank").isNull()).alias("owed")
+    )
+    order = Window.partitionBy("start", "goal").orderBy("n_links", F.col("weakest").asc_nulls_last(), "path")
+    return stood.withColumn("n_links", n).withColumn("place", F.row_number().over(order)).select("start", "goal", "path", "n_links", "weakest", "owed", "place")

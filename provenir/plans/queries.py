@@ -206,14 +206,13 @@ def q_nearest_event(spark, d):
     return evidence.nearest(s, p, ["user_id"], "ts", "ts", "event_id").select("event_id", "user_id", "nearest_id", "ambiguous")
 
 
-@query("""WITH s AS (SELECT c_nationkey AS nation, c_mktsegment AS segment, min(o_orderdate) AS lo, max(o_orderdate) AS hi FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 50 = 0 GROUP BY ALL)
-SELECT a.nation, a.segment AS segment_a, b.segment AS segment_b FROM s a JOIN s b ON a.nation = b.nation AND a.segment < b.segment AND a.lo <= b.hi AND b.lo <= a.hi""")
+@query("""WITH s AS (SELECT o_custkey, o_orderstatus AS status, min(o_orderdate) AS lo, max(o_orderdate) AS hi FROM orders GROUP BY ALL)
+SELECT a.o_custkey, a.status AS status_a, b.status AS status_b FROM s a JOIN s b ON a.o_custkey = b.o_custkey AND a.status < b.status AND a.lo <= b.hi AND b.lo <= a.hi""")
 def q_range_overlap(spark, d):
-    """Segments of a nation whose spans of activity meet (activity: every fiftieth order key, a rule of the query)."""
-    o = t(spark, d, "orders").where("o_orderkey % 50 = 0").join(t(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
-    s = o.groupBy(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment")).agg(F.min("o_orderdate").alias("lo"), F.max("o_orderdate").alias("hi"))
-    a, b = (s.select("nation", *[F.col(c).alias(f"{c}_{x}") for c in ("segment", "lo", "hi")]) for x in "ab")
-    return a.join(b, "nation").where("segment_a < segment_b AND lo_a <= hi_b AND lo_b <= hi_a").select("nation", "segment_a", "segment_b")
+    """States of a customer's orders whose spans of dates meet."""
+    s = t(spark, d, "orders").groupBy("o_custkey", F.col("o_orderstatus").alias("status")).agg(F.min("o_orderdate").alias("lo"), F.max("o_orderdate").alias("hi"))
+    a, b = (s.select("o_custkey", *[F.col(c).alias(f"{c}_{x}") for c in ("status", "lo", "hi")]) for x in "ab")
+    return a.join(b, "o_custkey").where("status_a < status_b AND lo_a <= hi_b AND lo_b <= hi_a").select("o_custkey", "status_a", "status_b")
 
 
 @query(f"""WITH l AS (SELECT *, {_STATUS} AS status FROM lineitem), c AS (SELECT l_orderkey, l_tax AS tax FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey
@@ -267,14 +266,14 @@ def q_set_ops(spark, d):
     return c.intersect(o.select("o_custkey")).subtract(o.where("o_orderstatus = 'F'").select("o_custkey"))
 
 
-@query("""WITH w AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'N'), e AS (SELECT o_orderkey AS k, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'P' THEN 'gone' ELSE 'closed' END AS status FROM orders WHERE o_orderkey % 5 <> 0)
+@query("""WITH w AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'N'), e AS (SELECT o_orderkey AS k, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'P' THEN 'gone' ELSE 'closed' END AS status FROM orders WHERE o_orderpriority <> '5-LOW')
 SELECT coalesce(w.k, e.k) AS k, CASE WHEN w.k IS NOT NULL THEN CASE coalesce(status, '') WHEN '' THEN 'insert' WHEN 'open' THEN 'keep' WHEN 'gone' THEN 'reopen' ELSE 'leave closed' END WHEN status = 'open' THEN 'close' ELSE 'leave closed' END AS action
 FROM w FULL JOIN e ON w.k = e.k""")
 def q_diff_plan(spark, d):
-    """U4: wanted against existing keys; plans exist for the keys that five does not divide."""
+    """U4: wanted against existing keys; a plan exists for every order that is not of low priority."""
     w = t(spark, d, "lineitem").where("l_returnflag = 'N'").select(F.col("l_orderkey").alias("k"))
     s = F.col("o_orderstatus")
-    e = t(spark, d, "orders").where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("k"), F.when(s == "O", "open").when(s == "P", "gone").otherwise("closed").alias("status"))
+    e = t(spark, d, "orders").where("o_orderpriority <> '5-LOW'").select(F.col("o_orderkey").alias("k"), F.when(s == "O", "open").when(s == "P", "gone").otherwise("closed").alias("status"))
     return evidence.diff_plan(w, e, "k")
 
 
@@ -344,13 +343,15 @@ def q_points(spark, d):
     )
 
 
-@query("""WITH a AS (SELECT c_custkey AS id, c_name AS name, c_acctbal AS amount FROM customer WHERE c_custkey % 2 = 0), b AS (SELECT c_custkey AS id, c_name || '*' AS name, 0.0::DOUBLE AS amount FROM customer WHERE c_custkey % 3 = 0)
+@query("""WITH a AS (SELECT c_custkey AS id, c_name AS name, c_acctbal AS amount FROM customer),
+b AS (SELECT c_custkey AS id, c_name || '*' AS name, 0.0::DOUBLE AS amount FROM customer WHERE c_acctbal < 0 UNION ALL SELECT -s_suppkey, s_name, s_acctbal FROM supplier)
 SELECT id, name, amount FROM b UNION ALL SELECT id, name, amount FROM a WHERE id NOT IN (SELECT id FROM b)""")
 def q_upsert(spark, d):
-    """K3: new rows replace old ones by key."""
+    """K3: new rows replace old ones by key: debts are cleared, suppliers join under negative keys."""
     c = t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("amount"))
-    new = c.where("id % 3 = 0").withColumn("name", F.concat("name", F.lit("*"))).withColumn("amount", F.lit(0.0))
-    return evidence.upsert(new, c.where("id % 2 = 0"), ["id"])
+    cleared = c.where("amount < 0").withColumn("name", F.concat("name", F.lit("*"))).withColumn("amount", F.lit(0.0))
+    added = t(spark, d, "supplier").select((-F.col("s_suppkey")).alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("amount"))
+    return evidence.upsert(cleared.union(added), c, ["id"])
 
 
 @query("""SELECT o_custkey, home, n FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, home) AS rn FROM (SELECT o_custkey, o_orderpriority AS home, count(*)::BIGINT AS n FROM orders GROUP BY o_custkey, o_orderpriority)) WHERE rn = 1""")
@@ -371,3 +372,29 @@ def q_era_gate(spark, d):
 def q_group_concat(spark, d):
     """A4: distinct values in one text."""
     return t(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set("o_orderpriority")), ",").alias("keys"))
+
+
+_RANK = "CASE WHEN c_acctbal >= 9000 THEN 0 WHEN c_acctbal >= 5000 THEN 1 ELSE 2 END"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT 'c' || c_nationkey AS a, 'm' || c_mktsegment AS b, min({_RANK})::INT AS rank FROM customer GROUP BY ALL), u AS (SELECT a, b, rank FROM e UNION ALL SELECT b, a, rank FROM e),
+w AS (SELECT 'c0' AS id, ['c0'] AS path, -1 AS weakest UNION ALL SELECT u.b, list_append(path, u.b), greatest(weakest, u.rank) FROM w JOIN u ON u.a = w.id WHERE w.id <> 'c1' AND len(path) < 7 AND NOT list_contains(path, u.b)),
+f AS (SELECT *, len(path) - 1 AS n_links, min(len(path) - 1) OVER () AS shortest FROM w WHERE id = 'c1')
+SELECT array_to_string(path, '>') AS path, n_links::INT AS n_links, weakest::INT AS weakest, row_number() OVER (ORDER BY n_links, weakest, path)::INT AS place FROM f WHERE n_links <= shortest + 2""")
+def q_simple_paths(spark, d):
+    """Paths between two nations over the segments of their customers, with their weakest link, in order."""
+    c = t(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_nationkey")).alias("a"), F.concat(F.lit("m"), F.col("c_mktsegment")).alias("b"), F.expr(_RANK).alias("rank"))
+    links = c.groupBy("a", "b").agg(F.min("rank").alias("rank"))
+    paths = graph.simple_paths(links, spark.createDataFrame([("c0", "c1")], "start string, goal string"), Scratch(spark), slack=2)
+    return graph.path_standing(paths, links).select(F.array_join("path", ">").alias("path"), "n_links", "weakest", "place")
+
+
+@query("""WITH r AS (SELECT unnest(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW']) AS rule, unnest([-1e9, 0, 2500, 5000, 7500]) AS least),
+b AS (SELECT o_custkey AS c_custkey, o_orderpriority AS rule, bool_or(o_orderstatus = 'F') AS held FROM orders GROUP BY ALL)
+SELECT c.c_custkey, r.rule, CASE WHEN held THEN 'held' WHEN NOT held THEN 'cited' WHEN c_acctbal >= least THEN 'missing' ELSE 'n/a' END AS status
+FROM customer c CROSS JOIN r LEFT JOIN b ON b.c_custkey = c.c_custkey AND b.rule = r.rule""")
+def q_checklist(spark, d):
+    """What each customer should have by rule, and what is held, cited or missing of it."""
+    least = {"1-URGENT": -1e9, "2-HIGH": 0.0, "3-MEDIUM": 2500.0, "4-NOT SPECIFIED": 5000.0, "5-LOW": 7500.0}
+    found = t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("rule"), (F.col("o_orderstatus") == "F").alias("held"))
+    return evidence.checklist(t(spark, d, "customer"), [(n, F.col("c_acctbal") >= x) for n, x in least.items()], found, "c_custkey")

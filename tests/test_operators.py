@@ -106,3 +106,44 @@ def test_intake_takes_each_content_once(spark, tmp_path):
     (tmp_path / "in/d").write_bytes(b"one")
     intake.archive_files(spark, box, held, log).awaitTermination()
     assert sorted(bytes(r["content"]) for r in spark.read.parquet(held).collect()) == [b"one", b"two"]
+
+
+def test_simple_paths_match_brute_force(spark):
+    g = random.Random(5)
+    edges = sorted({(a, b) for a, b in ((g.randrange(9), g.randrange(9)) for _ in range(16)) if a != b}) + [(20, 21)]
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+
+    def walk(path, goal):
+        if path[-1] == goal:
+            return [tuple(path)]
+        return [p for n in near.get(path[-1], ()) if n not in path for p in walk([*path, n], goal)]
+
+    pairs = [(0, 5), (1, 7), (3, 3), (0, 20), (None, 2)]
+    want = set()
+    for a, b in pairs[:4]:
+        found = walk([a], b)
+        want |= {(a, b, p) for p in found if len(p) <= min(map(len, found)) + 2}
+    df = spark.createDataFrame([*edges, (None, 1), (4, 4)], "a long, b long")
+    paths = graph.simple_paths(df, spark.createDataFrame(pairs, "start long, goal long"), Scratch(spark), slack=2)
+    assert {(r["start"], r["goal"], tuple(r["path"])) for r in paths.collect()} == want
+    assert len(want) > 5 and paths.count() == len(want)
+    none = spark.createDataFrame([], "a long, b long")
+    assert {tuple(r["path"]) for r in graph.simple_paths(none, spark.createDataFrame(pairs, "start long, goal long"), Scratch(spark)).collect()} == {(3,)}
+
+
+def test_path_standing(spark):
+    paths = spark.createDataFrame([("a", "c", ["a", "b", "c"]), ("a", "c", ["a", "x", "c"]), ("a", "c", ["a", "y", "z", "c"]), ("d", "d", ["d"])], "start string, goal string, path array<string>")
+    links = spark.createDataFrame([("b", "a", 0), ("b", "c", 3), ("a", "x", 1), ("x", "c", 1), ("c", "x", 2), ("a", "y", 0)], "a string, b string, rank int")
+    got = {tuple(r["path"]): (r["n_links"], r["weakest"], r["owed"], r["place"]) for r in graph.path_standing(paths, links).collect()}
+    assert got == {("a", "x", "c"): (2, 1, 0, 1), ("a", "b", "c"): (2, 3, 0, 2), ("a", "y", "z", "c"): (3, 0, 2, 3), ("d",): (0, None, 0, 1)}
+
+
+def test_checklist(spark):
+    people = spark.createDataFrame([(1, 1900), (2, None)], "k int, born int")
+    rules = [("census", F.col("born") < 1950), ("birth", F.lit(True)), ("index", F.col("born") > 1940)]
+    found = spark.createDataFrame([(1, "birth", False), (1, "birth", True), (2, "census", None), (1, "index", False), (9, "birth", True)], "k int, rule string, held boolean")
+    got = {(r["k"], r["rule"]): r["status"] for r in evidence.checklist(people, rules, found, "k").collect()}
+    assert got == {(1, "census"): "missing", (1, "birth"): "held", (1, "index"): "cited", (2, "census"): "cited", (2, "birth"): "missing", (2, "index"): "n/a"}
