@@ -1,9 +1,11 @@
 r"""License scan: exact set-similarity join of text blocks with license templates, in DataFrame functions only.
 
-A block is a line; its tokens are the distinct words that any template has, in ascending corpus frequency (documents that have the
-word, over the whole corpus; ties by word). A block matches a template if it holds at least ``containment`` percent of the template's
-distinct words. Blocks and templates meet on a rare token of both prefixes; the length filter and the positional filter drop
-pairs that cannot reach the needed overlap, and the overlap of full sets decides. All three filters are exact.
+A block is a line, or for each template any run of as many words as it has, wherever lines break, as notices are often wrapped. A
+block's tokens are the distinct words that any template has, in ascending corpus frequency (documents that have the word, over the
+whole corpus; ties by word). A block matches a template if it holds at least ``containment`` percent of the template's distinct words.
+Blocks and templates meet on a rare token of both prefixes; the length filter and the positional filter drop pairs that cannot reach
+the needed overlap, and the overlap of full sets decides. All filters are exact. A run that reaches the overlap has a prefix token
+of its template, so only the runs around such tokens are looked at, in texts of several lines that hold enough of the template.
 
 Templates are a fixed, small set (a few hundred words): their tables have a size that no corpus changes.
 """
@@ -59,7 +61,7 @@ def _needed(words: int, containment: int) -> int:
 def license_scan(docs: DataFrame, containment: int = CONTAINMENT, phrases: dict[str, str] | None = None, templates: list | None = None) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) for each row of ``docs`` (doc_id, text).
 
-    score: 1 with a base phrase, else the greatest containment of a template that a line matches, else 0. Null and empty
+    score: 1 with a base phrase, else the greatest containment of a template that a block matches, else 0. Null and empty
     texts have no words and no labels; rows equal in doc_id and text are scanned alike; an empty table gives none; other
     columns are ignored.
     """
@@ -77,10 +79,10 @@ def license_scan(docs: DataFrame, containment: int = CONTAINMENT, phrases: dict[
     for t, (label, text) in enumerate(templates):
         tokens = sorted(set(text.split()), key=rank.get)
         need = _needed(len(tokens), containment)
-        sets.append((t, label, tokens, need))
+        sets.append((t, label, tokens, need, len(text.split())))
         prefixes += [(tokens[i], t, i, len(tokens), need) for i in range(len(tokens) - need + 1)]
     prefix = F.broadcast(spark.createDataFrame(prefixes, "token string, template int, i int, size int, need int"))
-    whole = F.broadcast(spark.createDataFrame(sets, "template int, label string, tokens array<string>, need int"))
+    whole = F.broadcast(spark.createDataFrame(sets, "template int, label string, tokens array<string>, need int, n_all int"))
 
     # One pass for the words of each text.
     w = F.col("w")
@@ -107,11 +109,28 @@ def license_scan(docs: DataFrame, containment: int = CONTAINMENT, phrases: dict[
         (size >= F.col("need")) & (F.col("j") <= size - F.col("need")) & (1 + F.least(F.col("size") - F.col("i"), size - F.col("j")) - 1 >= F.col("need"))
     )
     overlap = F.size(F.array_intersect("b", "tokens"))
+    in_lines = met.join(whole.drop("need"), "template").select("doc_id", "h", "label", "size", "need", overlap.alias("overlap"))
+
+    # Blocks across line breaks: runs of a template's number of words that hold one of its prefix tokens.
+    longest = max(len(text.split()) for _, text in templates)
+    enough = F.lit(False)
+    for _, _, words, need, _ in sets:
+        enough = enough | (F.size(F.array_intersect("b", F.array(*map(F.lit, words)))) >= need)
+    held = base.where(F.col("text").contains("\n")).select("doc_id", F.xxhash64("text").alias("h"), word_array(F.col("text")).alias("w"))
+    held = held.withColumn("b", F.array_intersect(F.array(*map(F.lit, order)), "w")).where(enough)
+    first = lambda k: F.greatest(k - (longest - 1), F.lit(0))
+    near = lambda x, k: F.struct(x.alias("token"), (k - first(k)).alias("at"), F.slice("w", first(k) + 1, F.lit(2 * longest - 1)).alias("around"))
+    places = F.filter(F.transform("w", lambda x, k: F.when(x.isin(sorted({p[0] for p in prefixes})), near(x, k))), lambda p: p.isNotNull())
+    spots = held.select("doc_id", "h", F.explode(places).alias("p")).select("doc_id", "h", "p.*").join(prefix, "token")
+    spots = spots.join(whole.drop("need"), "template").where(F.size(F.array_intersect("around", "tokens")) >= F.col("need"))
+    starts = F.sequence(F.greatest(F.col("at") - F.col("n_all") + 1, F.lit(0)), F.col("at"))
+    run = lambda k: F.size(F.array_intersect(F.slice("around", k + 1, F.col("n_all")), F.col("tokens")))
+    in_runs = spots.select("doc_id", "h", "label", "size", "need", F.array_max(F.transform(starts, run)).alias("overlap"))
     found = (
-        met.join(whole.drop("need"), "template")
-        .where(overlap >= F.col("need"))
+        in_lines.union(in_runs)
+        .where("overlap >= need")
         .groupBy("doc_id", "h")
-        .agg(F.collect_set("label").alias("more"), F.max(overlap / F.col("size")).alias("share"))
+        .agg(F.collect_set("label").alias("more"), F.max(F.col("overlap") / F.col("size")).alias("share"))
     )
 
     key = [F.coalesce("doc_id", F.lit(-1)).alias("k1"), F.col("doc_id").isNull().alias("k2")]

@@ -293,6 +293,19 @@ def test_licenses(spark, odd, none):
     assert licenses.license_scan(none).count() == 0
 
 
+def test_licenses_of_wrapped_notices(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software"
+    bsd = " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:"
+    agpl = "# You should have received a copy of the GNU Affero General Public License\r\n# along with this program.  If not, see the web."
+    apache = "you may not use this file except in\ncompliance with the License.\nYou may obtain a copy\nof the License at"
+    narrow = "permission\nto use copy\nmodify and or\n\ndistribute this\nsoftware for any\npurpose with or\nwithout fee is\nhereby granted"
+    far = "permission is hereby granted free of charge\n" + "z " * 30 + "\nto any person obtaining a copy of this software and associated documentation files"
+    short = "you should have received a copy of the\ngnu affero general public"  # 12 of 17 words
+    texts = {1: mit, 2: bsd, 3: agpl, 4: apache, 5: narrow, 6: far, 7: short, 8: "z\n" * 100 + mit + "\nz" * 100, 9: bsd + "\n" + mit}
+    got = {r["doc_id"]: (r["labels"], round(r["score"], 6)) for r in licenses.license_scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {1: ("mit", 1.0), 2: ("bsd", 1.0), 3: ("agpl", 1.0), 4: ("apache", 1.0), 5: ("isc", 1.0), 6: ("", 0.0), 7: ("", 0.0), 8: ("mit", 1.0), 9: ("bsd,mit", 1.0)}
+
+
 def test_mixing(spark, odd, none):
     rows = [r.asDict() for r in mixing.mix(odd).collect()]
     texts = odd.select("doc_id", "source", "text").collect()
