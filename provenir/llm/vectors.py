@@ -1,10 +1,11 @@
 """Near-duplicate vectors by inverted lists and product quantisation.
 
 A coarse quantiser (spherical k-means) deals every vector to one list; the residual from the list's centroid is coded in
-SUBSPACES bytes. A vector searches the PROBES nearest lists, less those that no vector within the threshold can be in (the
-bisecting hyperplane is too far). In a list, distances come from tables of residual subspace distances (asymmetric); what
+SUBSPACES bytes. A vector searches every list but those that no vector within the threshold can be in (the bisecting
+hyperplane is too far), however many that leaves. Distances there are those to the decoded vectors (asymmetric); what
 lies within the threshold plus the coded vector's own quantisation error is ranked by exact cosine in double precision, so
-coding loses nothing. Lists meet in blocks of CHUNK x CHUNK vectors; a block returns counts and the smallest linked id
+coding loses nothing. Lists are laid out in order and cut into groups of GROUP vectors; groups meet in pairs, so a vector
+is copied once a group, not once a list. Each linked pair is found once and counts for both ends; a block returns counts and the smallest linked id
 of each vector, never its pairs. Centroids and codebooks are fitted on at most about BOUND vectors; every vector is
 indexed. Equal vectors are one entry with a multiplicity.
 """
@@ -13,13 +14,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 
 BOUND, PER_LIST, MAX_LISTS = 20_000, 256, 4096
-SUBSPACES, CODES, PROBES, CHUNK = 8, 64, 16, 512
+SUBSPACES, CODES, CHUNK, GROUP = 8, 64, 512, 4096
 SALTS = 64
 
 
@@ -56,21 +57,19 @@ class Index:
         err = np.sqrt(sum(((rest[:, p] - b[codes[:, k]]) ** 2).sum(1) for k, (p, b) in enumerate(zip(self.parts, self.books, strict=True))))
         return own, codes, err
 
-    def probes(self, x: np.ndarray, radius: float) -> list[np.ndarray]:
-        d = np.maximum((x * x).sum(1)[:, None] + (self.coarse**2).sum(1) - 2 * x @ self.coarse.T, 0)
-        near = np.argsort(d, 1)[:, :PROBES]
-        own = d[np.arange(len(x)), near[:, 0]]
-        out = []
-        for k, lists in enumerate(near):
-            apart = np.sqrt(((self.coarse[lists] - self.coarse[lists[0]]) ** 2).sum(1))
-            out.append(lists[d[k, lists] - own[k] <= 2 * radius * apart + 1e-9])
-        return out
-
-    def distances(self, q: np.ndarray, of: int, codes: np.ndarray) -> np.ndarray:
-        """Asymmetric squared distances: a table for each query and subspace, summed by code."""
-        rest, out = q - self.coarse[of], np.zeros((len(q), len(codes)))
+    def reach(self, x: np.ndarray, own: np.ndarray, lists: np.ndarray, radius: float) -> np.ndarray:
+        """Whether a vector within ``radius`` of a unit vector, whose list is ``own``, can be in a list: no hyperplane is too far."""
+        sq, c = (self.coarse**2).sum(1), self.coarse[lists]
+        d = sq[lists] - 2 * x @ c.T
+        at = sq[own] - 2 * (x * self.coarse[own]).sum(1)
+        homes, k = np.unique(own, return_inverse=True)
+        apart = np.sqrt(np.maximum(sq[homes][:, None] + sq[lists] - 2 * self.coarse[homes] @ c.T, 0)) + 1e-6
+        return d - at[:, None] <= 2 * radius * apart[k] + 1e-9
+
+    def decode(self, own: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        out = self.coarse[own]
         for k, (p, b) in enumerate(zip(self.parts, self.books, strict=True)):
-            out += (((rest[:, None, p] - b[None]) ** 2).sum(2))[:, codes[:, k]]
+            out[:, p] += b[codes[:, k]]
         return out
 
 
@@ -105,59 +104,73 @@ def near_vectors(vectors: DataFrame, scratch, cosine: float = 0.93) -> DataFrame
             if not len(pdf):
                 continue
             own = np.full(len(pdf), -1)
-            codes, err, probes = [b""] * len(pdf), np.zeros(len(pdf)), [np.array([-1])] * len(pdf)
+            codes, err = [b""] * len(pdf), np.zeros(len(pdf))
             k = np.flatnonzero(pdf.v.map(len).to_numpy() == dim)
             if len(k):
                 u = np.stack(pdf.v.iloc[k].to_list())
                 u = u / np.linalg.norm(u, axis=1, keepdims=True)
                 o, c, e = index.encode(u)
                 own[k], err[k] = o, e
-                for i, ci, pi in zip(k, c, index.probes(u, radius), strict=True):
-                    codes[i], probes[i] = ci.tobytes(), pi
-            yield pd.DataFrame({"id": pdf.id, "label": pdf.label, "n": pdf.n, "d": pdf.v.map(len), "own": own, "codes": codes, "err": err, "probes": [p.tolist() for p in probes], "v": pdf.v})
-
-    coded = scratch.table(entries.select("id", "label", "n", "v").mapInPandas(deal, "id long, label int, n long, d int, own int, codes binary, err double, probes array<int>, v array<double>"))
-    lists = coded.groupBy("label", "d", F.col("own").alias("list")).count()
-    asks = coded.select("label", "d", F.explode("probes").alias("list"), "id").groupBy("label", "d", "list").agg(F.count("*").alias("asked"))
-    chunks = scratch.table(lists.join(asks, ["label", "d", "list"]).select("label", "d", "list", F.ceil(F.col("count") / CHUNK).cast("int").alias("nd"), F.ceil(F.col("asked") / CHUNK).cast("int").alias("nq")))
-    chunk = lambda c: F.pmod(F.xxhash64("id", F.lit(9)), F.col(c)).cast("int")
-    spread = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    cols = ["label", "d", "list", "dc", "qc", "query", "id", "n", "codes", "err", "v"]
-    data = coded.withColumnRenamed("own", "list").join(chunks, ["label", "d", "list"]).withColumn("dc", chunk("nd")).withColumn("qc", spread("nq")).withColumn("query", F.lit(False))
-    asked = coded.withColumn("list", F.explode("probes")).join(chunks, ["label", "d", "list"]).withColumn("qc", chunk("nq")).withColumn("dc", spread("nd")).withColumn("query", F.lit(True))
+                for i, ci in zip(k, c, strict=True):
+                    codes[i] = ci.tobytes()
+            yield pd.DataFrame({"id": pdf.id, "label": pdf.label, "n": pdf.n, "d": pdf.v.map(len), "own": own, "codes": codes, "err": err, "v": pdf.v})
+
+    coded = scratch.table(entries.select("id", "label", "n", "v").mapInPandas(deal, "id long, label int, n long, d int, own int, codes binary, err double, v array<double>"))
+    lists = coded.groupBy("label", "d", "own").count()
+    kind = Window.partitionBy("label", "d")
+    before = F.sum("count").over(kind.orderBy("own").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("count")
+    lists = scratch.table(lists.select("label", "d", "own", "count", before.alias("before"), F.ceil(F.sum("count").over(kind) / GROUP).cast("int").alias("groups")))
+    place = F.col("before") + F.pmod(F.xxhash64("id", F.lit(9)), F.col("count"))  # a list is one stretch; a long one has several groups
+    dealt = coded.join(lists, ["label", "d", "own"]).withColumn("at", F.floor(place / GROUP).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    dealt = dealt.select("label", "d", F.least("at", "other").alias("lo"), F.greatest("at", "other").alias("hi"), "at", "id", "n", "own", "codes", "err", "v")
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"id": [], "links": [], "root": []}).astype("int64")
-        q, d = pdf[pdf["query"]], pdf[~pdf["query"]]
+        out = [pd.DataFrame({"id": [], "links": [], "root": []}).astype("int64")]
+        pdf = pdf.sort_values(["own", "id"])
+        lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
+        q, d = pdf[pdf["at"] == lo], pdf[pdf["at"] == hi]
         if not len(q) or not len(d):
-            return none
-        qv, dv = np.stack(q.v.to_list()), np.stack(d.v.to_list())
-        qu, du = (z / np.linalg.norm(z, axis=1, keepdims=True) for z in (qv, dv))
-        of, ids, qids = int(pdf["list"].iloc[0]), d.id.to_numpy(), q.id.to_numpy()
-        near = qids[:, None] != ids[None]
-        if of >= 0:
-            codes = np.stack([np.frombuffer(c, np.uint8) for c in d.codes])
-            near &= np.sqrt(index.distances(qu, of, codes)) <= radius + d.err.to_numpy() + 1e-6
-        i, j = np.nonzero(near)
-        ok = np.zeros(len(i), bool)
-        for k in range(0, len(i), 100_000):
-            ok[k : k + 100_000] = np.einsum("ij,ij->i", qu[i[k : k + 100_000]], du[j[k : k + 100_000]]) >= cosine
-        i, j = i[ok], j[ok]
-        if not len(i):
-            return none
-        links = np.zeros(len(q), np.int64)
-        np.add.at(links, i, d.n.to_numpy()[j])
-        ql, dl = qids.copy(), ids.copy()  # smallest id that a vector reaches inside the block
-        while True:
-            a, b = ql.copy(), dl.copy()
-            np.minimum.at(ql, i, b[j])
-            np.minimum.at(dl, j, ql[i])
-            if (a == ql).all() and (b == dl).all():
-                break
-        qi, dj = np.unique(i), np.unique(j)
-        return pd.DataFrame({"id": np.append(qids[qi], ids[dj]), "links": np.append(links[qi], np.zeros(len(dj), np.int64)), "root": np.append(ql[qi], dl[dj])})
-
-    found = scratch.table(data.select(cols).union(asked.select(cols)).groupBy("label", "d", "list", "dc", "qc").applyInPandas(block, "id long, links long, root long"))
+            return out[0]
+        qu, du = (np.stack(z.v.to_list()) for z in (q, d))
+        qu, du = (z / np.linalg.norm(z, axis=1, keepdims=True) for z in (qu, du))
+        qids, ids, qn, dn, own = q.id.to_numpy(), d.id.to_numpy(), q.n.to_numpy(), d.n.to_numpy(), d.own.to_numpy()
+        if own[0] >= 0:
+            shown = index.decode(own, np.stack([np.frombuffer(c, np.uint8) for c in d.codes]))
+            size, limit = (shown**2).sum(1), (radius + d.err.to_numpy() + 1e-6) ** 2 + 1e-9
+            lists, of = np.unique(own, return_inverse=True)
+        for s in range(0, len(q), CHUNK):
+            x, xid = qu[s : s + CHUNK], qids[s : s + CHUNK]
+            cols = np.arange(len(d))
+            if own[0] >= 0:
+                reach = index.reach(x, q.own.to_numpy()[s : s + CHUNK], lists, radius)
+                cols = np.flatnonzero(reach.any(0)[of])
+                near = 1 + size[cols] - 2 * x @ shown[cols].T <= limit[cols]
+                near &= reach[:, of[cols]]
+            else:
+                near = np.ones((len(x), len(d)), bool)
+            if lo == hi:  # each pair once
+                near &= xid[:, None] < ids[cols][None]
+            i, j = np.nonzero(near)
+            j = cols[j]
+            ok = np.zeros(len(i), bool)
+            for k in range(0, len(i), 100_000):
+                ok[k : k + 100_000] = np.einsum("ij,ij->i", x[i[k : k + 100_000]], du[j[k : k + 100_000]]) >= cosine
+            i, j = i[ok], j[ok]
+            if not len(i):
+                continue
+            ql, dl = xid.copy(), ids.copy()  # smallest id that a vector reaches among these
+            while True:
+                a, b = ql.copy(), dl.copy()
+                np.minimum.at(ql, i, b[j])
+                np.minimum.at(dl, j, ql[i])
+                if (a == ql).all() and (b == dl).all():
+                    break
+            qi, dj = np.unique(i), np.unique(j)
+            links = np.append(np.bincount(i, dn[j], len(x))[qi], np.bincount(j, qn[s : s + CHUNK][i], len(d))[dj]).astype(np.int64)
+            out.append(pd.DataFrame({"id": np.append(xid[qi], ids[dj]), "links": links, "root": np.append(ql[qi], dl[dj])}))
+        return pd.concat(out, ignore_index=True)
+
+    found = scratch.table(dealt.groupBy("label", "d", "lo", "hi").applyInPandas(block, "id long, links long, root long"))
     label = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).where("a <> b").distinct(), scratch)
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     ends = (

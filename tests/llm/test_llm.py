@@ -372,6 +372,26 @@ def test_vectors(spark):
     assert vectors.near_vectors(df.limit(0), Scratch(spark)).count() == 0
 
 
+@pytest.mark.parametrize("group", [4096, 300])
+def test_vectors_search_every_list_in_reach(spark, monkeypatch, group):
+    monkeypatch.setattr(vectors, "PER_LIST", 2)
+    monkeypatch.setattr(vectors, "BOUND", 1000)  # about 1000 lists, fitted on a third of the vectors
+    monkeypatch.setattr(vectors, "GROUP", group, raising=False)
+    g = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    base = unit(g.normal(size=(1500, 64)))
+    side = g.normal(size=base.shape)
+    side = unit(side - (side * base).sum(1, keepdims=True) * base)
+    c = g.uniform(0.9301, 0.932, (1500, 1))
+    v = np.concatenate([base, c * base + np.sqrt(1 - c * c) * side])
+    linked = unit(v) @ unit(v).T >= 0.93
+    np.fill_diagonal(linked, False)
+    df = spark.createDataFrame([(k, x.tolist(), 0) for k, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_vectors(df, Scratch(spark)).collect()}
+    assert linked.sum() >= 3000
+    assert got == {k: (row.sum(), k % 1500) for k, row in enumerate(linked)}
+
+
 def test_languages(spark, odd, none):
     docs = real(spark)[0]
     got = langid.languages(docs).toPandas().merge(docs.select("doc_id", "lang").toPandas(), on="doc_id")
