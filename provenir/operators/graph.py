@@ -1,7 +1,9 @@
-"""Graph operators over edge DataFrames; every walk is a bounded driver loop of joins with a table written each round."""
+"""Graph operators over edge DataFrames; every walk is a driver loop of joins with a table written each round."""
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,19 +73,25 @@ def distances(edges: DataFrame, seeds: DataFrame, scratch: Scratch, max_depth: i
     return seen.select("id", "depth", F.col("pos").alias("origin"))
 
 
+def _grown(seen: DataFrame, frontier: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """Both; written anew every 16 rounds, so that the plans of long walks stay small."""
+    out = seen.union(frontier)
+    return out if k % 16 else scratch.table(out)
+
+
 def generations(edges: DataFrame, home: DataFrame, scratch: Scratch, cap: int = 12) -> DataFrame:
     """(id, generation) over edges (a, b, step): a reaches b with step +1 (parent), -1 (child) or 0 (spouse); nearest to 0 wins.
 
-    States are (id, generation), so cycles end; equal distance goes to the state found first, then to the older generation.
+    States are (id, generation), so the walk ends, however long the chains are; equal distance goes to the state found first, then to the older generation.
     """
     seen = frontier = scratch.table(home.select("id", F.lit(0).alias("generation"), F.lit(0).alias("round")))
-    for k in range(1, 4 * cap):
+    for k in count(1):
         step = frontier.join(edges.select(F.col("a").alias("id"), "b", "step"), "id")
         step = step.select(F.col("b").alias("id"), (F.col("generation") + F.col("step")).alias("generation")).where(F.abs("generation") <= cap).distinct()
         frontier = scratch.table(step.join(seen, ["id", "generation"], "left_anti").select("id", "generation", F.lit(k).alias("round")))
         if frontier.isEmpty():
             break
-        seen = seen.union(frontier)
+        seen = _grown(seen, frontier, k, scratch)
     best = F.min_by("generation", F.struct(F.abs("generation"), "round", -F.col("generation")))
     return seen.groupBy("id").agg(best.alias("generation"))
 

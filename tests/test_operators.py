@@ -49,6 +49,14 @@ def test_walks(spark):
     assert dict(map(tuple, graph.generations(kin, home, s).collect())) == {"a": 0, "b": 1, "c": 1, "d": 0}
 
 
+def test_generations_of_a_long_chain(spark):
+    steps = [(1, -1), (-1, 1), (0, 0)]  # parent, child, spouse, over and over
+    rows = [r for k in range(60) for r in ((k, k + 1, steps[k % 3][0]), (k + 1, k, steps[k % 3][1]))]
+    kin = spark.createDataFrame(rows, "a long, b long, step int")
+    got = dict(map(tuple, graph.generations(kin, spark.createDataFrame([(0,)], "id long"), Scratch(spark)).collect()))
+    assert got == {k: int(k % 3 == 1) for k in range(61)}
+
+
 def test_nearest(spark):
     at = lambda s: f"2024-01-01 00:00:{s:02d}"
     left = spark.createDataFrame([(1, 1, at(10)), (2, 1, at(20)), (3, 2, at(5)), (4, 3, at(5))], "id int, k int, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
