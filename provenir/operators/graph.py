@@ -96,27 +96,31 @@ def generations(edges: DataFrame, home: DataFrame, scratch: Scratch, cap: int =
     return seen.groupBy("id").agg(best.alias("generation"))
 
 
-def simple_paths(edges: DataFrame, pairs: DataFrame, scratch: Scratch, slack: int = 2, max_depth: int = 12) -> DataFrame:
+def simple_paths(edges: DataFrame, pairs: DataFrame, scratch: Scratch, slack: int = 2) -> DataFrame:
     """(start, goal, path) of all simple paths for each of ``pairs`` (start, goal) within ``slack`` links of its shortest.
 
-    Distances to the goals come first, so a step that cannot reach its goal within the budget is never made. Pairs with no
-    chain of at most max_depth links give none, as do null ends; a pair of equal ends has the path of that node alone.
+    Distances to the goals come first, so a step that cannot reach its goal within the budget is never made; they are walked
+    until every start of a goal is reached and ``slack`` rounds more, or nothing new is found. Pairs with no chain give none,
+    as do null ends; a pair of equal ends has the path of that node alone.
     """
     ends = edges.select(F.col("a").alias("id"), F.col("b").alias("next")).where("id <> next")
     e = scratch.table(ends.union(ends.select("next", "id")).distinct())
     p = scratch.table(pairs.select("start", "goal").where("start IS NOT NULL AND goal IS NOT NULL").distinct())
     far = frontier = scratch.table(p.select("goal", F.col("goal").alias("id"), F.lit(0).alias("depth")).distinct())
-    for d in range(1, max_depth + 1):
-        step = frontier.join(e, "id").select("goal", F.col("next").alias("id")).distinct()
+    for d in count(1):
+        # A goal is open while a start is not reached, and until depths reach slack beyond its farthest start.
+        need = F.coalesce(F.col("depth") + slack, F.lit(d))
+        live = p.withColumnRenamed("start", "id").join(far, ["goal", "id"], "left").groupBy("goal").agg(F.max(need).alias("need")).where(F.col("need") >= d)
+        step = frontier.join(live, "goal", "left_semi").join(e, "id").select("goal", F.col("next").alias("id")).distinct()
         frontier = scratch.table(step.join(far, ["goal", "id"], "left_anti").withColumn("depth", F.lit(d)))
         if frontier.isEmpty():
             break
-        far = far.union(frontier)
+        far = _grown(far, frontier, d, scratch)
     budget = p.join(far.withColumnRenamed("id", "start"), ["goal", "start"]).select("start", "goal", (F.col("depth") + slack).alias("budget"))
     walk = scratch.table(budget.select("start", "goal", "budget", F.col("start").alias("id"), F.array("start").alias("path")))
     done = walk.where("id = goal")
     after = far.select("goal", F.col("id").alias("next"), "depth")
-    while not walk.where("id <> goal").isEmpty():  # a path is at most max_depth + slack links long
+    while not walk.where("id <> goal").isEmpty():  # a path is within its budget
         step = walk.where("id <> goal").join(e, "id").where("NOT array_contains(path, next)").join(after, ["goal", "next"])
         step = step.where(F.size("path") + F.col("depth") <= F.col("budget"))
         walk = scratch.table(step.select("start", "goal", "budget", F.col("next").alias("id"), F.array_append("path", F.col("next")).alias("path")))

@@ -142,6 +142,15 @@ def test_simple_paths_match_brute_force(spark):
     assert {tuple(r["path"]) for r in graph.simple_paths(none, spark.createDataFrame(pairs, "start long, goal long"), Scratch(spark)).collect()} == {(3,)}
 
 
+def test_simple_paths_of_long_chains(spark):
+    chain = [(k, k + 1) for k in range(15)]
+    df = spark.createDataFrame([*chain, (7, 20), (20, 21), (21, 8), (0, 30), (30, 31), (31, 1), (50, 51)], "a long, b long")
+    pairs = spark.createDataFrame([(0, 15), (12, 15), (50, 15)], "start long, goal long")
+    got = sorted(tuple(r["path"]) for r in graph.simple_paths(df, pairs, Scratch(spark), slack=2).collect())
+    first, last, line = (0, 30, 31, 1), (7, 20, 21, 8), tuple(range(16))
+    assert got == sorted([line, first + line[2:], line[:7] + last + line[9:], line[12:]])
+
+
 def test_path_standing(spark):
     paths = spark.createDataFrame([("a", "c", ["a", "b", "c"]), ("a", "c", ["a", "x", "c"]), ("a", "c", ["a", "y", "z", "c"]), ("d", "d", ["d"])], "start string, goal string, path array<string>")
     links = spark.createDataFrame([("b", "a", 0), ("b", "c", 3), ("a", "x", 1), ("x", "c", 1), ("c", "x", 2), ("a", "y", 0)], "a string, b string, rank int")
