@@ -59,26 +59,26 @@ def most_specific(sets: DataFrame, closure: DataFrame) -> DataFrame:
     return n.select("group_id").join(full.select("group_id", "id"), "group_id", "left")
 
 
-def distances(edges: DataFrame, seeds: DataFrame, scratch: Scratch, max_depth: int) -> DataFrame:
-    """(id, depth, origin) of nodes within max_depth of the seeds (id, pos); equal depths go to the earliest seed."""
+def _grown(seen: DataFrame, frontier: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """Both; written anew every 16 rounds, so that the plans of long walks stay small."""
+    out = seen.union(frontier)
+    return out if k % 16 else scratch.table(out)
+
+
+def distances(edges: DataFrame, seeds: DataFrame, scratch: Scratch, max_depth: int | None = None) -> DataFrame:
+    """(id, depth, origin) of nodes reached from the seeds (id, pos), within max_depth if given; equal depths go to the earliest seed."""
     e = edges.select(F.col("a").alias("id"), F.col("b").alias("next"))
     e = e.union(e.select(F.col("next"), F.col("id"))).distinct()
     seen = frontier = scratch.table(seeds.groupBy("id").agg(F.min("pos").alias("pos")).select("id", F.lit(0).alias("depth"), "pos"))
-    for d in range(1, max_depth + 1):
+    for d in count(1) if max_depth is None else range(1, max_depth + 1):
         step = frontier.join(e, "id").groupBy(F.col("next").alias("id")).agg(F.min("pos").alias("pos"))
         frontier = scratch.table(step.join(seen, "id", "left_anti").select("id", F.lit(d).alias("depth"), "pos"))
         if frontier.isEmpty():
             break
-        seen = seen.union(frontier)
+        seen = _grown(seen, frontier, d, scratch)
     return seen.select("id", "depth", F.col("pos").alias("origin"))
 
 
-def _grown(seen: DataFrame, frontier: DataFrame, k: int, scratch: Scratch) -> DataFrame:
-    """Both; written anew every 16 rounds, so that the plans of long walks stay small."""
-    out = seen.union(frontier)
-    return out if k % 16 else scratch.table(out)
-
-
 def generations(edges: DataFrame, home: DataFrame, scratch: Scratch, cap: int = 12) -> DataFrame:
     """(id, generation) over edges (a, b, step): a reaches b with step +1 (parent), -1 (child) or 0 (spouse); nearest to 0 wins.
 

@@ -49,6 +49,14 @@ def test_walks(spark):
     assert dict(map(tuple, graph.generations(kin, home, s).collect())) == {"a": 0, "b": 1, "c": 1, "d": 0}
 
 
+def test_distances_run_to_the_end(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(90, 91)], "a long, b long")
+    seeds = spark.createDataFrame([(0, 1), (24, 0), (0, 2)], "id long, pos int")
+    got = {r["id"]: (r["depth"], r["origin"]) for r in graph.distances(edges, seeds, Scratch(spark)).collect()}
+    assert got == {k: min((k, 1), (abs(k - 24), 0)) for k in range(31)}
+    assert graph.distances(edges, spark.createDataFrame([(0, 1)], "id long, pos int"), Scratch(spark)).count() == 31
+
+
 def test_generations_of_a_long_chain(spark):
     steps = [(1, -1), (-1, 1), (0, 0)]  # parent, child, spouse, over and over
     rows = [r for k in range(60) for r in ((k, k + 1, steps[k % 3][0]), (k + 1, k, steps[k % 3][1]))]
