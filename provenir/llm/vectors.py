@@ -1,26 +1,30 @@
 """Near-duplicate vectors by inverted lists and product quantisation.
 
-A coarse quantiser (spherical k-means) deals every vector to one list; the residual from the list's centroid is coded in
-SUBSPACES bytes. A vector searches every list but those that no vector within the threshold can be in (the bisecting
-hyperplane is too far), however many that leaves. Distances there are those to the decoded vectors (asymmetric); what
-lies within the threshold plus the coded vector's own quantisation error is ranked by exact cosine in double precision, so
-coding loses nothing. Lists are laid out in order and cut into groups of GROUP vectors; groups meet in pairs, so a vector
-is copied once a group, not once a list. Each linked pair is found once and counts for both ends; a block returns counts and the smallest linked id
-of each vector, never its pairs. Centroids and codebooks are fitted on at most about BOUND vectors; every vector is
-indexed. Equal vectors are one entry with a multiplicity.
+The coarse quantiser has a codebook for each half of a vector; a list is a pair of codewords, so lists grow with the corpus (one
+for about PER_LIST vectors of the largest label, up to MAX_WORDS squared) while the codebooks stay small. The residual from the list's
+centroid is coded in SUBSPACES bytes. WIDTH lists that follow one another are a block. A vector searches every block but those
+that no vector within the threshold can be in: its halves' distances to the bisecting hyperplanes of own and other codewords,
+squared and added, exceed the threshold's. That test is exact, however many blocks it leaves.
+
+First round: a block's members come as codes only, in chunks of GROUP, and meet the vectors that search the block, VISITORS at a
+time; of two blocks only the lower one's vectors search the other's. Distances are those to the decoded vectors (asymmetric); what
+lies within the threshold plus the coded vector's own quantisation error is a candidate, so coding loses nothing. Second round: the
+vectors of candidates are fetched for just these meetings and compared by cosine in double precision. Each linked pair is found once and counts
+for both ends; a meeting returns counts and the smallest linked vector of each, never its pairs. Codebooks are
+fitted on at most about BOUND vectors; every vector is indexed. Equal vectors are one entry with a multiplicity.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 
-BOUND, PER_LIST, MAX_LISTS = 20_000, 256, 4096
-SUBSPACES, CODES, CHUNK, GROUP = 8, 64, 512, 4096
+BOUND, PER_LIST, MAX_WORDS, WIDTH = 20_000, 256, 2048, 16
+SUBSPACES, CODES, SLICE, GROUP, VISITORS = 8, 64, 512, 4096, 16_384
 SALTS = 64
 
 
@@ -39,146 +43,214 @@ def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return ((c * c).sum(1) - 2 * x @ c.T).argmin(1)
 
 
+def _in_line(c: np.ndarray) -> np.ndarray:
+    """Codewords in the order of their main direction, so that neighbours in number are near."""
+    rest = c - c.mean(0)
+    return c[np.argsort(rest @ np.linalg.svd(rest, full_matrices=False)[2][0], kind="stable")] if c.size else c
+
+
 class Index:
-    """Coarse centroids (MAX_LISTS at most) and CODES codewords for each subspace: bounded, whatever the corpus."""
+    """Two coarse codebooks and CODES codewords for each subspace: bounded, whatever the corpus."""
 
-    def __init__(self, sample: np.ndarray, n: int):
+    def __init__(self, sample: np.ndarray, most: int):
         dim = sample.shape[1]
-        self.coarse = _kmeans(sample, int(np.clip(n // PER_LIST, 1, MAX_LISTS)))
+        words = int(np.clip(np.ceil(np.sqrt(most / PER_LIST)), 1, MAX_WORDS))
+        self.halves = np.array_split(np.arange(dim), 2)
+        self.coarse = [_in_line(_kmeans(sample[:, h], words)) for h in self.halves]
+        self.wide = -(-len(self.coarse[1]) // WIDTH)
+        self.blocks = len(self.coarse[0]) * self.wide
         self.parts = np.array_split(np.arange(dim), min(SUBSPACES, dim))
-        rest = sample - self.coarse[_nearest(sample, self.coarse)]
+        rest = sample - self._centroid(self._own(sample))
         self.books = [_kmeans(rest[:, p], CODES) for p in self.parts]
 
+    def _own(self, x: np.ndarray) -> np.ndarray:
+        return np.stack([_nearest(x[:, h], c) for h, c in zip(self.halves, self.coarse, strict=True)], 1)
+
+    def _centroid(self, own: np.ndarray) -> np.ndarray:
+        return np.concatenate([c[own[:, k]] for k, c in enumerate(self.coarse)], 1)
+
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """List, codes and quantisation error of unit vectors."""
-        own = _nearest(x, self.coarse)
-        rest = x - self.coarse[own]
+        """List (two codewords), codes and quantisation error of unit vectors."""
+        own = self._own(x)
+        rest = x - self._centroid(own)
         codes = np.stack([_nearest(rest[:, p], b) for p, b in zip(self.parts, self.books, strict=True)], 1).astype(np.uint8)
         err = np.sqrt(sum(((rest[:, p] - b[codes[:, k]]) ** 2).sum(1) for k, (p, b) in enumerate(zip(self.parts, self.books, strict=True))))
         return own, codes, err
 
-    def reach(self, x: np.ndarray, own: np.ndarray, lists: np.ndarray, radius: float) -> np.ndarray:
-        """Whether a vector within ``radius`` of a unit vector, whose list is ``own``, can be in a list: no hyperplane is too far."""
-        sq, c = (self.coarse**2).sum(1), self.coarse[lists]
-        d = sq[lists] - 2 * x @ c.T
-        at = sq[own] - 2 * (x * self.coarse[own]).sum(1)
-        homes, k = np.unique(own, return_inverse=True)
-        apart = np.sqrt(np.maximum(sq[homes][:, None] + sq[lists] - 2 * self.coarse[homes] @ c.T, 0)) + 1e-6
-        return d - at[:, None] <= 2 * radius * apart[k] + 1e-9
-
     def decode(self, own: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        out = self.coarse[own]
+        out = self._centroid(own)
         for k, (p, b) in enumerate(zip(self.parts, self.books, strict=True)):
             out[:, p] += b[codes[:, k]]
         return out
 
+    def block(self, own: np.ndarray) -> np.ndarray:
+        return own[:, 0] * self.wide + own[:, 1] // WIDTH
+
+    def _gaps(self, x: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+        """Squared distance of a half to the half-space beyond each bisecting hyperplane; 0 for its own codeword."""
+        c = self.coarse[k]
+        sq = (c * c).sum(1)
+        d = sq - 2 * x[:, self.halves[k]] @ c.T
+        apart = np.sqrt(np.maximum(sq[own[:, k]][:, None] + sq - 2 * c[own[:, k]] @ c.T, 0))
+        return (np.maximum(d - d[np.arange(len(x)), own[:, k]][:, None] - 1e-9, 0) / (2 * apart + 1e-6)) ** 2
+
+    def reach(self, x: np.ndarray, own: np.ndarray, radius: float) -> np.ndarray:
+        """(vectors, blocks): whether a vector within ``radius`` can be in a block."""
+        first, second = self._gaps(x, own, 0), self._gaps(x, own, 1)
+        second = np.stack([second[:, k : k + WIDTH].min(1) for k in range(0, second.shape[1], WIDTH)], 1)
+        return (first[:, :, None] + second[:, None, :] <= radius**2 + 1e-6).reshape(len(x), -1)
+
+
+def _unit(v: pd.Series) -> np.ndarray:
+    """Unit vectors; the largest component is made 1 first, so that no square under- or overflows."""
+    x = np.stack(v.to_list())
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _sound(v: Column) -> Column:
+    finite = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
+    return F.coalesce(finite & F.exists(v, lambda c: c != 0), F.lit(False))
+
 
 def near_vectors(vectors: DataFrame, scratch, cosine: float = 0.93) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``vectors`` (vec_id, embedding, label); others are ignored.
 
-    Vectors meet only in equal, non-null labels and lengths. Vectors that are null, empty or zero, or hold null or non-finite
-    components, have no links and are kept. Rows that repeat a vec_id with one vector are one node and count once; a null
-    vec_id links with nothing. Lengths other than the commonest are compared in blocks without codes. An empty table gives none.
+    Vectors meet only in equal, non-null labels (of any type) and lengths. Vectors that are null, empty or zero, or hold null or
+    non-finite components, have no links and are kept. Rows that repeat a vec_id with one label and vector are one and count once. A vec_id
+    with several vectors or labels stands for as many vectors: each row has its own vector's links and component, named by the smallest
+    vec_id in it. A null vec_id links with nothing. Lengths with at most GROUP vectors a label need no codes. An empty table gives none.
     """
     radius = float(np.sqrt(2 - 2 * cosine))
     x = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.exists("v", lambda c: c != 0) & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
-    x = x.withColumn("ok", F.coalesce(sound, F.lit(False)))
+    x = x.withColumn("ok", F.col("vec_id").isNotNull() & F.col("label").isNotNull() & _sound(F.col("v")))
+    kind = x.schema["label"].dataType.simpleString()
     # Equal vectors of a label: one entry. Salted parts first, as one vector may be a third of all rows.
     salt = F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int")
     rows = scratch.table(x.where("ok").select("vec_id", "label", "v", salt.alias("salt"), F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(7), F.col("v")).alias("h2")))
     parts = scratch.table(rows.groupBy("label", "h1", "h2", "salt").agg(F.min("vec_id").alias("least"), F.count_distinct("vec_id").alias("n")))
     heads = scratch.table(parts.groupBy("label", "h1", "h2").agg(F.min("least").alias("id"), F.sum("n").alias("n")))
     entries = scratch.table(rows.select(F.col("vec_id").alias("id"), "label", "h1", "h2", "v").join(heads, ["id", "label", "h1", "h2"]).dropDuplicates(["id", "label", "h1", "h2"]))
-    sized = entries.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if sized is None:
-        return x.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dim, n = sized["d"], sized["count"]
-    share = min(1.0, BOUND / n)
-    sample = entries.where((F.size("v") == dim) & (F.pmod(F.xxhash64("id", F.lit(8)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)).select("id", "v").orderBy("id").collect()
-    s = np.array([r["v"] for r in sample]) if sample else np.ones((1, dim))
-    index = Index(s / np.linalg.norm(s, axis=1, keepdims=True), n)
+
+    # A length with more vectors than codewords gets an index; the others are compared as they are.
+    per = entries.groupBy(F.size("v").alias("d"), "label").count().groupBy("d").agg(F.max("count").alias("most"), F.sum("count").alias("n"))
+    sized = {r["d"]: r for r in per.where(F.col("n") > CODES).collect()}
+    share = min(1.0, BOUND / max(sum(r["n"] for r in sized.values()), 1))
+    chosen = F.size("v").isin(list(sized)) & (F.pmod(F.xxhash64("id", "h1"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    sample = entries.where(chosen).select("id", "h1", "v").orderBy("id", "h1").toPandas() if sized else pd.DataFrame({"v": []})
+    indexes = {}
+    for d, r in sized.items():
+        s = sample.v[sample.v.map(len) == d]
+        indexes[d] = Index(_unit(s) if len(s) else np.ones((1, d)), r["most"])
 
     def deal(batches):
         for pdf in batches:
-            if not len(pdf):
-                continue
-            own = np.full(len(pdf), -1)
-            codes, err = [b""] * len(pdf), np.zeros(len(pdf))
-            k = np.flatnonzero(pdf.v.map(len).to_numpy() == dim)
-            if len(k):
-                u = np.stack(pdf.v.iloc[k].to_list())
-                u = u / np.linalg.norm(u, axis=1, keepdims=True)
-                o, c, e = index.encode(u)
-                own[k], err[k] = o, e
-                for i, ci in zip(k, c, strict=True):
-                    codes[i] = ci.tobytes()
-            yield pd.DataFrame({"id": pdf.id, "label": pdf.label, "n": pdf.n, "d": pdf.v.map(len), "own": own, "codes": codes, "err": err, "v": pdf.v})
-
-    coded = scratch.table(entries.select("id", "label", "n", "v").mapInPandas(deal, "id long, label int, n long, d int, own int, codes binary, err double, v array<double>"))
-    lists = coded.groupBy("label", "d", "own").count()
-    kind = Window.partitionBy("label", "d")
-    before = F.sum("count").over(kind.orderBy("own").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("count")
-    lists = scratch.table(lists.select("label", "d", "own", "count", before.alias("before"), F.ceil(F.sum("count").over(kind) / GROUP).cast("int").alias("groups")))
-    place = F.col("before") + F.pmod(F.xxhash64("id", F.lit(9)), F.col("count"))  # a list is one stretch; a long one has several groups
-    dealt = coded.join(lists, ["label", "d", "own"]).withColumn("at", F.floor(place / GROUP).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
-    dealt = dealt.select("label", "d", F.least("at", "other").alias("lo"), F.greatest("at", "other").alias("hi"), "at", "id", "n", "own", "codes", "err", "v")
-
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"id": [], "links": [], "root": []}).astype("int64")]
-        pdf = pdf.sort_values(["own", "id"])
-        lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
-        q, d = pdf[pdf["at"] == lo], pdf[pdf["at"] == hi]
-        if not len(q) or not len(d):
-            return out[0]
-        qu, du = (np.stack(z.v.to_list()) for z in (q, d))
-        qu, du = (z / np.linalg.norm(z, axis=1, keepdims=True) for z in (qu, du))
-        qids, ids, qn, dn, own = q.id.to_numpy(), d.id.to_numpy(), q.n.to_numpy(), d.n.to_numpy(), d.own.to_numpy()
-        if own[0] >= 0:
-            shown = index.decode(own, np.stack([np.frombuffer(c, np.uint8) for c in d.codes]))
-            size, limit = (shown**2).sum(1), (radius + d.err.to_numpy() + 1e-6) ** 2 + 1e-9
-            lists, of = np.unique(own, return_inverse=True)
-        for s in range(0, len(q), CHUNK):
-            x, xid = qu[s : s + CHUNK], qids[s : s + CHUNK]
-            cols = np.arange(len(d))
-            if own[0] >= 0:
-                reach = index.reach(x, q.own.to_numpy()[s : s + CHUNK], lists, radius)
-                cols = np.flatnonzero(reach.any(0)[of])
-                near = 1 + size[cols] - 2 * x @ shown[cols].T <= limit[cols]
-                near &= reach[:, of[cols]]
-            else:
-                near = np.ones((len(x), len(d)), bool)
-            if lo == hi:  # each pair once
-                near &= xid[:, None] < ids[cols][None]
-            i, j = np.nonzero(near)
-            j = cols[j]
-            ok = np.zeros(len(i), bool)
-            for k in range(0, len(i), 100_000):
-                ok[k : k + 100_000] = np.einsum("ij,ij->i", x[i[k : k + 100_000]], du[j[k : k + 100_000]]) >= cosine
-            i, j = i[ok], j[ok]
-            if not len(i):
-                continue
-            ql, dl = xid.copy(), ids.copy()  # smallest id that a vector reaches among these
+            for d, g in pdf.groupby(pdf.v.map(len)):
+                step = 256 if d not in indexes else min(256, 4_000_000 // indexes[d].blocks + 1)
+                for k in range(0, len(g), step):
+                    yield one(g.iloc[k : k + step].reset_index(drop=True), d)
+
+    def one(g: pd.DataFrame, d: int) -> pd.DataFrame:
+        u = _unit(g.v)
+        out = g[["id", "label", "h1", "h2", "n"]].assign(d=d, block=0, i=0, j=0, codes=b"", err=0.0, reach=[[]] * len(g), u=[x.tobytes() for x in u])
+        if index := indexes.get(d):
+            own, codes, err = index.encode(u)
+            block = index.block(own)
+            far = index.reach(u, own, radius) & (np.arange(index.blocks) > block[:, None])
+            out = out.assign(block=block, i=own[:, 0], j=own[:, 1], codes=[c.tobytes() for c in codes], err=err, reach=[np.flatnonzero(f) for f in far])
+        return out
+
+    node = ["id", "h1", "h2"]
+    fields = f"id long, label {kind}, h1 long, h2 long, n long, d int, block int, i int, j int, codes binary, err double, reach array<int>, u binary"
+    coded = scratch.table(entries.select("id", "label", "h1", "h2", "n", "v").mapInPandas(deal, fields))
+    at = ["label", "d", "block"]
+    visits = coded.withColumn("to", F.explode(F.concat(F.array("block"), "reach")))
+    of = visits.groupBy("label", "d", F.col("to").alias("block")).agg(F.count("*").alias("visitors"))
+    size = coded.groupBy(*at).agg(F.count("*").alias("members"))
+    # A block that no other vector searches is still searched by its own.
+    met = scratch.table(size.join(of, at).select(*at, F.ceil(F.col("members") / GROUP).cast("int").alias("chunks"), F.ceil(F.col("visitors") / VISITORS).cast("int").alias("turns")))
+    deal_to = lambda n, seed: F.pmod(F.xxhash64(*node, F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    nothing = lambda t: F.lit(None).cast(t)
+    shown = coded.join(met, at).withColumn("chunk", deal_to("chunks", 1)).withColumn("turn", every("turns"))
+    shown = shown.select(*at, "chunk", "turn", F.lit(True).alias("held"), F.lit(True).alias("own"), *node, "i", "j", "codes", "err", nothing("binary").alias("u"))
+    asking = visits.select("label", "d", F.col("to").alias("block"), (F.col("to") == F.col("block")).alias("own"), *node, "u").join(met, at)
+    asking = asking.withColumn("turn", deal_to("turns", 2)).withColumn("chunk", every("chunks"))
+    asking = asking.select(*at, "chunk", "turn", F.lit(False).alias("held"), "own", *node, nothing("int").alias("i"), nothing("int").alias("j"), nothing("binary").alias("codes"), nothing("double").alias("err"), "u")
+    meeting = [*at, "chunk", "turn"]
+    back = [*meeting, "held", "own", *node]
+
+    def candidates(pdf: pd.DataFrame) -> pd.DataFrame:
+        q, m = (pdf[pdf.held == h].sort_values(node, ignore_index=True) for h in (False, True))
+        if not len(q) or not len(m):
+            return pdf[back].iloc[:0]
+        index = indexes.get(int(pdf.d.iloc[0]))
+        if index is None:
+            return pdf[back].iloc[: len(pdf) if len(pdf) > 2 else 0]
+        rq, rm = _numbers(q, m)
+        of_q, of_m = np.zeros(len(q), bool), np.zeros(len(m), bool)
+        y = index.decode(m[["i", "j"]].to_numpy(int), np.frombuffer(b"".join(m.codes), np.uint8).reshape(len(m), -1)).astype(np.float32)
+        most = (radius + m.err.to_numpy() + 1e-4) ** 2 - 1 - (y.astype(float) ** 2).sum(1)
+        for s in range(0, len(q), SLICE):
+            t = q.iloc[s : s + SLICE]
+            v = np.frombuffer(b"".join(t.u), np.float64).reshape(len(t), -1).astype(np.float32)
+            near = -2 * (v @ y.T) <= most
+            near &= ~t.own.to_numpy(bool)[:, None] | (rq[s : s + SLICE, None] < rm)  # in one block each pair once
+            of_q[s : s + SLICE], of_m = near.any(1), of_m | near.any(0)
+        return pd.concat([q[of_q], m[of_m]])[back]
+
+    near = scratch.table(shown.union(asking).groupBy(*meeting).applyInPandas(candidates, f"label {kind}, d int, block int, chunk int, turn int, held boolean, own boolean, id long, h1 long, h2 long"))
+
+    def linked(pdf: pd.DataFrame) -> pd.DataFrame:
+        q, m = (pdf[pdf.held == h].sort_values(node, ignore_index=True) for h in (False, True))
+        out = [pd.DataFrame({c: [] for c in ("id", "h1", "h2", "links", "rid", "r1", "r2")}).astype("int64")]
+        if not len(q) or not len(m):
+            return out[0].assign(label=pdf.label.iloc[:0])[found_at]
+        y = np.frombuffer(b"".join(m.u), np.float64).reshape(len(m), -1)
+        nq, nm = _numbers(q, m)
+        names = pd.concat([q[node], m[node]]).iloc[np.unique(np.append(nq, nm), return_index=True)[1]]
+        qn, mn = q.n.to_numpy(), m.n.to_numpy()
+        links, root = np.zeros(len(names), np.int64), np.arange(len(names))
+        for s in range(0, len(q), SLICE):
+            t = q.iloc[s : s + SLICE]
+            ok = np.frombuffer(b"".join(t.u), np.float64).reshape(len(t), -1) @ y.T >= cosine
+            ok &= ~t.own.to_numpy(bool)[:, None] | (nq[s : s + SLICE, None] < nm)
+            a, b = np.nonzero(ok)
+            np.add.at(links, nq[s + a], mn[b])
+            np.add.at(links, nm[b], qn[s + a])
+            a, b = nq[s + a], nm[b]
             while True:
-                a, b = ql.copy(), dl.copy()
-                np.minimum.at(ql, i, b[j])
-                np.minimum.at(dl, j, ql[i])
-                if (a == ql).all() and (b == dl).all():
+                old = root.copy()
+                least = np.minimum(root[a], root[b])
+                np.minimum.at(root, a, least)
+                np.minimum.at(root, b, least)
+                if (old == root).all():
                     break
-            qi, dj = np.unique(i), np.unique(j)
-            links = np.append(np.bincount(i, dn[j], len(x))[qi], np.bincount(j, qn[s : s + CHUNK][i], len(d))[dj]).astype(np.int64)
-            out.append(pd.DataFrame({"id": np.append(xid[qi], ids[dj]), "links": links, "root": np.append(ql[qi], dl[dj])}))
-        return pd.concat(out, ignore_index=True)
-
-    found = scratch.table(dealt.groupBy("label", "d", "lo", "hi").applyInPandas(block, "id long, links long, root long"))
-    label = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).where("a <> b").distinct(), scratch)
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
+        k = np.flatnonzero(links)
+        r = names.iloc[root[k]]
+        out = names.iloc[k].assign(links=links[k], rid=r.id.to_numpy(), r1=r.h1.to_numpy(), r2=r.h2.to_numpy())
+        return out.assign(label=pdf.label.iloc[0])[found_at]
+
+    found_at = ["label", "id", "h1", "h2", "links", "rid", "r1", "r2"]
+    full = near.join(coded.select("label", *node, "n", "u"), ["label", *node])
+    found = scratch.table(full.groupBy(*meeting).applyInPandas(linked, f"label {kind}, id long, h1 long, h2 long, links long, rid long, r1 long, r2 long"))
+    # A vector's name in the walk over links: its id first, so that the least name has the smallest id.
+    name = lambda i, a, b: F.struct(F.col(i).alias("id"), "label", F.col(a).alias("h1"), F.col(b).alias("h2"))
+    edges = found.select(name("id", "h1", "h2").alias("a"), name("rid", "r1", "r2").alias("b")).where("a <> b").distinct()
+    label = connected_components(edges, scratch).select("id.*", F.col("label.id").alias("component"))
+    links = found.groupBy("label", *node).agg(F.sum("links").alias("links"))
     ends = (
-        heads.join(links, "id", "left")
-        .join(label.withColumnRenamed("label", "component"), "id", "left")
+        heads.join(links, ["label", *node], "left")
+        .join(label, ["label", *node], "left")
         .select("label", "h1", "h2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component"))
     )
     by = parts.select("label", "h1", "h2", "salt").join(ends, ["label", "h1", "h2"])
     out = rows.select("vec_id", "label", "h1", "h2", "salt").join(by, ["label", "h1", "h2", "salt"]).select("vec_id", "n_links", F.col("component").alias("component_id"))
     rest = x.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.union(rest).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def _numbers(q: pd.DataFrame, m: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the vectors of both in the order of their names; one name has one number."""
+    n = pd.concat([q, m]).groupby(["id", "h1", "h2"]).ngroup().to_numpy()
+    return n[: len(q)], n[len(q) :]

@@ -430,3 +430,63 @@ def test_pipeline_against_brute_force(spark):
 def test_queries_are_registered():
     assert [n for n in queries.QUERIES if n.startswith("op")] == sorted((n for n in queries.QUERIES if n.startswith("op")), key=lambda n: int(n[2:].split("_")[0]))
     assert len(queries.QUERIES) == 11 and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+def brute_links(rows):
+    """Links and components of (vec_id, vector, label) rows, the slow way; rows of one id with other vectors are nodes of their own."""
+    nodes = sorted({(i, tuple(v), y) for i, v, y in rows})
+    unit = {n: np.array(n[1]) / np.abs(n[1]).max() for n in nodes}
+    unit = {n: u / np.linalg.norm(u) for n, u in unit.items()}
+    links, up = Counter(), {n: n for n in nodes}
+
+    def find(n):
+        while up[n] != n:
+            n = up[n]
+        return n
+
+    for k, a in enumerate(nodes):
+        for b in nodes[k + 1 :]:
+            if a[2] == b[2] and len(a[1]) == len(b[1]) and unit[a] @ unit[b] >= 0.93:
+                links.update([a, b])
+                x, y = sorted((find(a), find(b)))
+                up[y] = x
+    return {n: (links[n], find(n)[0]) for n in nodes}
+
+
+def test_vectors_of_extreme_lengths_and_repeated_ids(spark):
+    base = [(1, [1.0, 0.0], "x"), (2, [1.0, 0.01], "x"), (5, [1.0, 1.0], "x"), (7, [1e-200, 1e-200], "x"), (8, [1e200, 1e200], "x"), (9, [3e-310, 0.0], "x")]
+    twice = [(20, [1.0, 0.0, 0.0], "x"), (20, [0.0, 1.0, 0.0], "x"), (20, [0.0, 1.0, 0.0], "y"), (21, [1.0, 0.1, 0.0], "x"), (22, [0.0, 1.0, 0.1], "x"), (23, [0.0, 1.0, 0.1], "y"), (24, [0.0, 1.0, 0.2], "y")]
+    rows = base + twice
+    df = spark.createDataFrame([(i, v, y, "k", 1, "z") for i, v, y in rows], "vec_id long, embedding array<double>, label string, id string, n int, h1 string")
+    want = brute_links(rows)
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_vectors(df, Scratch(spark)).collect())
+    assert got == sorted((i, *want[i, tuple(v), y], want[i, tuple(v), y][1] == i) for i, v, y in rows)
+    assert [r[:3] for r in got if r[0] == 20] == [(20, 1, 20), (20, 1, 20), (20, 2, 20)]
+
+
+def test_vectors_many_lists_recall(spark, monkeypatch):
+    """Planted pairs at 0.93 to 0.95 in clustered vectors: at least 50 lists, chunks and turns, two lengths, float components."""
+    monkeypatch.setattr(vectors, "PER_LIST", 8)
+    monkeypatch.setattr(vectors, "GROUP", 64)
+    monkeypatch.setattr(vectors, "VISITORS", 100)
+    monkeypatch.setattr(vectors, "WIDTH", 2)
+    g = np.random.default_rng(8)
+    rows = []
+    for dim, n in ((24, 900), (10, 200)):
+        centre = g.normal(size=(30, dim)) * 2
+        base = centre[g.integers(0, 30, n)] + g.normal(size=(n, dim))
+        base /= np.linalg.norm(base, axis=1, keepdims=True)
+        side = g.normal(size=base.shape)
+        side -= (side * base).sum(1, keepdims=True) * base
+        side /= np.linalg.norm(side, axis=1, keepdims=True)
+        c = g.uniform(0.931, 0.95, (n, 1))
+        v = np.concatenate([base, c * base + np.sqrt(1 - c * c) * side]).astype(np.float32)
+        rows += [(len(rows) + k, x.tolist(), k % n % 2) for k, x in enumerate(v)]
+    index = vectors.Index(np.array([r[1] for r in rows[:1800]]), 900)
+    assert len(index.coarse[0]) * len(index.coarse[1]) >= 50
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_vectors(df, Scratch(spark)).collect()}
+    want = {n[0]: w for n, w in brute_links(rows).items()}
+    found, there = sum(x for x, _ in got.values()), sum(x for x, _ in want.values())
+    print(f"recall {found / there:.4f} of {there} link ends")
+    assert there >= 2000 and got == want
