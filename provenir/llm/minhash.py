@@ -6,6 +6,9 @@ sketches merge, and registers of two sets are equal about as often as their Jacc
 propose pairs, the likelihood of (greater, less, equal) registers estimates their similarity jointly with the known
 sizes, and full sets of both whole texts confirm.
 
+A set's name is the smallest doc_id that has it with half of its digest: of one doc_id with several texts each set keeps its own name,
+and links join them.
+
 Groups are never expanded into all pairs. Equal sets become one representative first. In a bucket of a band each member is
 compared with the bucket's smallest and largest id. Buckets whose members then still belong to several components
 are compared in full, in blocks of CHUNK x CHUNK documents, and only linked pairs across components
@@ -18,7 +21,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
@@ -67,6 +71,11 @@ def shingle_set(text: str | None, size: int, known: dict) -> np.ndarray:
     return s[np.concatenate(([True], s[1:] != s[:-1]))]
 
 
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    d = xxhash.xxh128_digest(s.tobytes())
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
 def registers(s: np.ndarray) -> np.ndarray:
     """SetSketch registers of a set of fingerprints; an empty set has zeros."""
     if not len(s):
@@ -116,10 +125,10 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
             out: dict = {"doc_id": b["doc_id"], "n_shingles": [], "h1": [], "h2": [], "regs": []}
             for t in b["text"]:
                 s = shingle_set(t, size, known)
-                d = xxhash.xxh128_digest(s.tobytes())
+                h1, h2 = _digest(s)
                 out["n_shingles"].append(len(s))
-                out["h1"].append(int.from_bytes(d[:8], "little", signed=True))
-                out["h2"].append(int.from_bytes(d[8:], "little", signed=True))
+                out["h1"].append(h1)
+                out["h2"].append(h2)
                 out["regs"].append(registers(s).tobytes() if len(s) else None)
             return out
 
@@ -134,17 +143,24 @@ def _keys(bands: np.ndarray) -> np.ndarray:
     return ((key ^ (key >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
 
 
+NAME = "struct<id:bigint,h1:bigint>"
+
+
+def _name(i: str = "doc_id") -> Column:
+    return F.struct(F.col(i).alias("id"), F.col("h1"))
+
+
 def _band_rows(sk: DataFrame) -> DataFrame:
-    """(key, id): a row for each band of each sketch."""
+    """(key, name): a row for each band of each sketch."""
 
     def run(batches):
         for b in batches:
             if b.num_rows:
                 regs = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64).reshape(b.num_rows, -1)
-                ids = np.repeat(b.column(0).to_numpy(zero_copy_only=False), regs.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(_keys(regs).ravel()), pa.array(ids)], ["key", "id"])
+                names = b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), regs.shape[1])))
+                yield pa.RecordBatch.from_arrays([pa.array(_keys(regs).ravel()), names], ["key", "name"])
 
-    return sk.select("doc_id", "regs").mapInArrow(run, "key long, id long")
+    return sk.select("name", "regs").mapInArrow(run, f"key long, name {NAME}")
 
 
 def _likely(percent: int, a, b, na, nb) -> np.ndarray:
@@ -159,7 +175,7 @@ def _likely(percent: int, a, b, na, nb) -> np.ndarray:
 
 
 def _estimated(pairs: DataFrame, sk: DataFrame, percent: int) -> DataFrame:
-    one = lambda c, x: sk.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
+    one = lambda c, x: sk.select(F.col("name").alias(c), F.col("n_shingles").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
 
     def run(batches):
         for b in batches:
@@ -168,11 +184,11 @@ def _estimated(pairs: DataFrame, sk: DataFrame, percent: int) -> DataFrame:
                 keep = _likely(percent, ra, rb, b.column(4).to_numpy(), b.column(5).to_numpy())
                 yield b.select([0, 1]).filter(pa.array(keep))
 
-    return pairs.join(one("b", "b"), "b").join(one("a", "a"), "a").select("a", "b", "ra", "rb", "na", "nb").mapInArrow(run, "a long, b long")
+    return pairs.join(one("b", "b"), "b").join(one("a", "a"), "a").select("a", "b", "ra", "rb", "na", "nb").mapInArrow(run, f"a {NAME}, b {NAME}")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(doc_id, s, half): full shingle sets of the documents whose id is in ``ids``, and the distinct upper halves, as sorted bytes."""
+def _sets(docs: DataFrame, names: DataFrame, size: int) -> DataFrame:
+    """(name, s, half): full shingle sets of ``names`` (name, rows), and the distinct upper halves, as sorted bytes."""
 
     def make():
         known = _Words()
@@ -180,18 +196,26 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
         def fn(b: dict) -> dict:
             sets = [shingle_set(t, size, known) for t in b["text"]]
             halves = [(s >> np.uint64(32)).astype(np.uint32) for s in sets]
-            return {"doc_id": b["doc_id"], "s": [s.tobytes() for s in sets], "half": [h[np.append(True, h[1:] != h[:-1])[: len(h)]].tobytes() for h in halves]}
+            half = [h[np.append(True, h[1:] != h[:-1])[: len(h)]].tobytes() for h in halves]
+            return {"name": [{"id": i, "h1": _digest(s)[0]} for i, s in zip(b["doc_id"], sets, strict=True)], "s": [s.tobytes() for s in sets], "half": half}
 
         return fn
 
-    return map_batches(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("doc_id", "text"), make, "doc_id long, s binary, half binary")
+    def of(some: DataFrame) -> DataFrame:
+        texts = docs.select("doc_id", "text").join(some.select(F.col("name.id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
+        return map_batches(texts, make, f"name {NAME}, s binary, half binary").join(some.select("name"), "name", "left_semi").select("name", "s", "half")
+
+    again = names.where("rows > 1")  # rows that repeat a doc_id with one set
+    if again.isEmpty():
+        return of(names)
+    return of(names.where("rows = 1")).union(of(again).dropDuplicates(["name"]))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full sets meet the threshold."""
     rows = (
-        pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
-        .join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
+        pairs.join(sets.select(F.col("name").alias("b"), F.col("s").alias("sb")), "b")
+        .join(sets.select(F.col("name").alias("a"), F.col("s").alias("sa")), "a")
         .select("a", "b", "sa", "sb")
     )
 
@@ -204,29 +228,31 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(s) + len(t) - both) and both > 0)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, f"a {NAME}, b {NAME}")
 
 
 def _blocks(members: DataFrame, percent: int) -> DataFrame:
-    """Linked pairs across components inside buckets, from rows (key, id, label, n_shingles, of, regs, half) dealt to pairs of chunks.
+    """Linked pairs across components inside buckets, from rows (key, name, label, n_shingles, of, regs, half) dealt to pairs of chunks.
 
     A pair is looked at in the bucket of the first band that it shares. Its sets are compared by the upper halves of their elements. A
     set of n elements with h distinct halves hides at most n - h of them, which bounds the intersection from above; pairs that
     may then meet the threshold leave for the comparison in full.
     """
     k = F.greatest(F.ceil(F.col("of") / CHUNK).cast("int"), F.lit(1))
-    m = members.withColumn("k", k).withColumn("c", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    m = members.withColumn("k", k).withColumn("c", F.pmod(F.xxhash64("name"), F.col("k")).cast("int"))
     m = m.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    m = m.select("key", F.least("c", "o").alias("c1"), F.greatest("c", "o").alias("c2"), "id", "label", "n_shingles", "regs", "half")
-    none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    m = m.select("key", F.least("c", "o").alias("c1"), F.greatest("c", "o").alias("c2"), "name", "label", "n_shingles", "regs", "half")
+    kind = pa.struct([("id", pa.int64()), ("h1", pa.int64())])
+    none = pa.table({"a": pa.array([], kind), "b": pa.array([], kind)})
 
     def block(t: pa.Table) -> pa.Table:
-        lab = t["label"].to_numpy()
-        if (lab == lab[0]).all():
+        t = t.combine_chunks()
+        one = lambda c, f: pc.struct_field(t[c], f).to_numpy()
+        if (one("label", "id") == one("label", "id")[0]).all() and (one("label", "h1") == one("label", "h1")[0]).all():
             return none
-        order = np.argsort(t["id"].to_numpy(), kind="stable")
-        t = t.take(pa.array(order)).combine_chunks()
-        ids, lab, n = t["id"].to_numpy(), lab[order], t["n_shingles"].to_numpy()
+        t = t.take(pa.array(np.lexsort((one("name", "h1"), one("name", "id"))))).combine_chunks()
+        _, lab = np.unique(np.stack([one("label", "id"), one("label", "h1")], 1), axis=0, return_inverse=True)
+        lab, n = lab.ravel(), t["n_shingles"].to_numpy()
         regs = np.frombuffer(b"".join(t["regs"].to_pylist()), np.uint16).reshape(len(t), -1)
         bands = regs.view(np.uint64)
         mine = np.argmax(_keys(bands) == np.int64(t["key"][0].as_py()), axis=1)  # the bucket's band
@@ -238,7 +264,7 @@ def _blocks(members: DataFrame, percent: int) -> DataFrame:
             return sets[j]
 
         a, b = [], []
-        for i in range(len(ids) - 1):
+        for i in range(len(t) - 1):
             far = np.flatnonzero(lab[i + 1 :] != lab[i]) + i + 1
             if len(far):
                 far = far[np.argmax(bands[far] == bands[i], axis=1) == mine[i]]
@@ -252,11 +278,11 @@ def _blocks(members: DataFrame, percent: int) -> DataFrame:
                 both = np.add.reduceat((own[at] == flat).astype(np.int64), np.cumsum(size) - size)
                 most = both + np.minimum(n[i] - len(own), n[far] - size)
                 ok = far[100 * most >= percent * (n[i] + n[far] - most)]
-                a.append(np.full(len(ok), ids[i]))
-                b.append(ids[ok])
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)}) if a else none
+                a.append(np.full(len(ok), i))
+                b.append(ok)
+        return pa.table({c: t["name"].take(pa.array(np.concatenate(x))) for c, x in (("a", a), ("b", b))}) if a else none
 
-    return m.groupBy("key", "c1", "c2").applyInArrow(block, "a long, b long").distinct()
+    return m.groupBy("key", "c1", "c2").applyInArrow(block, f"a {NAME}, b {NAME}").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -264,8 +290,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     Two documents are linked if 100 * |A n B| >= percent * |A u B| for their sets of ``size``-word shingles; with fewer
     words, the whole sequence is the one shingle. Null or empty texts and texts without words have an empty set, link with
-    nothing and are kept. Rows that repeat a doc_id are one node: each keeps its row. A null doc_id has a null
-    component and is kept. Empty input gives an empty result.
+    nothing and are kept. Rows that repeat a doc_id are one document, also with different texts: whatever any of them is
+    linked with is in the component of all that have words. A null doc_id has a null component and is kept. Empty input gives an
+    empty result.
     """
     scratch = Scratch(docs.sparkSession)
     sk = scratch.table(sketches(docs, size))
@@ -273,35 +300,43 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     full = sk.where("n_shingles > 0 and doc_id is not null")
     # Equal sets: the smallest id of each digest, by way of salted parts so that no task holds a whole group.
     parts = scratch.table(full.groupBy("h1", "h2", salt).agg(F.min("doc_id").alias("least")))
-    reps = scratch.table(parts.groupBy("h1", "h2").agg(F.min("least").alias("rep")))
-    firsts = scratch.table(
-        full.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "n_shingles", "regs").dropDuplicates(["doc_id"])
-    )
+    reps = scratch.table(parts.groupBy("h1", "h2").agg(F.min("least").alias("doc_id")))
+    firsts = full.join(reps, ["doc_id", "h1", "h2"]).groupBy(_name().alias("name"))
+    firsts = scratch.table(firsts.agg(F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"), F.count("*").alias("rows")))
 
     rows = _band_rows(firsts)
-    buckets = scratch.table(rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("of")).where("lo <> hi"))
+    buckets = scratch.table(rows.groupBy("key").agg(F.min("name").alias("lo"), F.max("name").alias("hi"), F.count("*").alias("of")).where("lo <> hi"))
     members = scratch.table(rows.join(buckets, "key"))
-    star = members.select(F.col("lo").alias("a"), F.col("id").alias("b")).union(members.select("id", "hi")).where("a <> b").distinct()
+    star = members.select(F.col("lo").alias("a"), F.col("name").alias("b")).union(members.select("name", "hi")).where("a <> b").distinct()
     tried = scratch.table(_estimated(star, firsts, percent))
-    sets = scratch.table(_sets(docs, members.select(F.col("id").alias("doc_id")).distinct(), size))
-    edges = scratch.table(_confirmed(tried, sets, percent))
+    sets = scratch.table(_sets(docs, firsts.select("name", "rows").join(members.select("name"), "name", "left_semi"), size))
+    edges = scratch.table(_confirmed(tried, sets, percent).union(_one_document(full, reps, scratch)))
     label = connected_components(edges, scratch)
 
     # Buckets that still hold several components.
-    named = members.join(label.select("id", "label"), "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    named = members.join(label.select(F.col("id").alias("name"), "label"), "name", "left").select("key", "name", F.coalesce("label", "name").alias("label"))
     split = scratch.table(named.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count("*").alias("of")).where("l1 <> l2"))
     if not split.isEmpty():
-        rest = named.join(split.select("key", "of"), "key").join(firsts.select(F.col("doc_id").alias("id"), "n_shingles", "regs"), "id")
-        rest = rest.join(sets.select(F.col("doc_id").alias("id"), "half"), "id")
+        rest = named.join(split.select("key", "of"), "key").join(firsts.select("name", "n_shingles", "regs"), "name")
+        rest = rest.join(sets.select("name", "half"), "name")
         more = scratch.table(_blocks(rest, percent))
         if not more.isEmpty():
             label = connected_components(edges.union(scratch.table(_confirmed(more, sets, percent))), scratch)
 
-    ends = reps.join(label.select(F.col("id").alias("rep"), "label"), "rep", "left").select("h1", "h2", F.coalesce("label", "rep").alias("component"))
+    label = label.select(F.col("id").alias("name"), F.col("label.id").alias("component"))
+    ends = reps.withColumn("name", _name()).join(label, "name", "left").select("h1", "h2", F.coalesce("component", "doc_id").alias("component"))
     ends = parts.select("h1", "h2", "salt").join(ends, ["h1", "h2"])
     out = sk.select("doc_id", "n_shingles", "h1", "h2", salt)
     out = out.where("n_shingles > 0").join(ends, ["h1", "h2", "salt"], "left").select("doc_id", "n_shingles", "component").union(
         out.where("n_shingles = 0").select("doc_id", "n_shingles", F.lit(None).cast("long"))
     )
-    component = F.coalesce("component", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def _one_document(full: DataFrame, reps: DataFrame, scratch) -> DataFrame:
+    """Links (a, b) between the sets of each doc_id that has several."""
+    several = scratch.table(full.groupBy("doc_id").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("doc_id"))
+    sets = full.join(several, "doc_id", "left_semi").select("doc_id", "h1", "h2").distinct().join(reps.withColumnRenamed("doc_id", "rep"), ["h1", "h2"])
+    sets = scratch.table(sets.select("doc_id", _name("rep").alias("name")))
+    return sets.join(sets.groupBy("doc_id").agg(F.min("name").alias("least")), "doc_id").select(F.col("least").alias("a"), F.col("name").alias("b")).where("a <> b")

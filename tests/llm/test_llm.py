@@ -94,6 +94,16 @@ def test_near_duplicates(spark, odd, none, size):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_of_one_id_with_several_texts(spark):
+    a, b, c = (" ".join(f"{p}{k}" for k in range(60)) for p in "abc")
+    rows = [(1, a), (1, b), (2, a + " tail"), (3, b + " tail"), (4, c), (4, c), (4, c + " tail"), (9, c + " end"), (5, a), (5, None), (6, "")] * 2
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == len(rows)
+    words = {(r["doc_id"], r["component_id"]) for r in got if r["n_shingles"]}
+    assert words == {(1, 1), (2, 1), (3, 1), (5, 1), (4, 4), (9, 4)}
+    assert {(r["doc_id"], r["component_id"]) for r in got if not r["n_shingles"]} == {(5, 5), (6, 6)}
+
+
 def test_near_duplicates_on_the_table(spark):
     docs = real(spark)[0].select("doc_id", "text")
     want = components([tuple(r) for r in docs.collect()], 2, 80)
