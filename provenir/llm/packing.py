@@ -2,19 +2,21 @@
 
 Only longer documents are cut. Piece lengths are at most SIZE numbers, so their counts are a table of at most SIZE rows however large
 the corpus; the plan is made from these counts alone. Lengths over a quarter of a sequence are large: sorted, they are put in
-groups of equal cardinality and rounded up to the group's longest, configurations of at most three rounded sizes are filled
-from the longest on, each with the fullest that still has documents; then actual lengths take the places of the rounded
-ones, and small pieces go, longest first, to the tightest room left. The plan is a list of runs: so many sequences of the
-same lengths. Pieces of one length are numbered in a distributed way (partition counts, then offsets) and each finds its
-run by its number.
+GROUPS groups of equal cardinality and rounded up to the group's longest (a length that fills a group by itself, and the longest that fit
+twice or three times, start groups of their own). Configurations hold at most three rounded sizes, so all of them are listed, and a
+linear programme (revised simplex, one row a group) finds how often to use which; its solution is rounded down. Then actual lengths take the
+places of rounded ones, and what is left of the large pieces, and the small ones, go longest first to the tightest room. The
+plan is a list of runs: so many sequences of the same lengths. Pieces of one length are numbered in a distributed way
+(partition counts, then offsets) and each finds its run by its number.
 """
 
 from __future__ import annotations
 
 import bisect
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter, defaultdict, deque
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import Encoder
 
-SIZE, END_ID, GROUPS = 2048, 0, 40
+SIZE, END_ID, GROUPS = 2048, 0, 96
 
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
@@ -51,70 +53,114 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "part int, rank long, doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def plan(counts: dict[int, int], size: int = SIZE, groups: int = GROUPS) -> list[tuple[tuple[int, ...], int]]:
-    """Runs (lengths in one sequence, number of such sequences) that hold every piece once."""
-    large = sorted((n for n in counts if n > size // 4), reverse=True)
-    total = sum(counts[n] for n in large)
-    # Groups of equal cardinality, longest first: (rounded size, [(actual length, count)...]).
-    group: list[list] = []
+def grouped(counts: dict[int, int], size: int, groups: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Large lengths in groups of equal cardinality, longest first: (rounded size, [(actual length, count)...])."""
+    large = sorted((n for n in counts if n > size // 4 and counts[n]), reverse=True)
+    each = -(-sum(counts[n] for n in large) // groups) if large else 1
+    out: list[tuple[int, list]] = []
     room = 0
     for n in large:
+        if counts[n] >= each or any(n <= size // k < out[-1][1][-1][0] for k in (2, 3) if out):
+            room = 0
         left = counts[n]
         while left:
-            if not room:
-                group.append([n, []])
-                room = -(-total // groups)
+            if room <= 0:
+                out.append((n, []))
+                room = max(each, counts[n])
             take = min(left, room)
-            group[-1][1].append([n, take])
+            out[-1][1].append((n, take))
             left, room = left - take, room - take
-    left = [sum(c for _, c in members) for _, members in group]
-    sizes = [g for g, _ in group]
-
-    def fill(space: int, first: int) -> tuple[int, tuple[int, ...]]:
-        """The fullest choice of groups with documents, from ``first`` on, for the space."""
-        best: tuple[int, tuple[int, ...]] = (0, ())
-        for k in range(first, len(sizes)):
-            if left[k] and sizes[k] <= space:
-                left[k] -= 1
-                used, rest = fill(space - sizes[k], k) if space - sizes[k] > size // 4 else (0, ())
-                left[k] += 1
-                best = max(best, (sizes[k] + used, (k, *rest)))
-        return best
-
-    runs: list[tuple[tuple[int, ...], int]] = []
-    for k in range(len(sizes)):
-        while left[k]:
-            left[k] -= 1
-            config = (k, *fill(size - sizes[k], k)[1])
-            left[k] += 1
-            need = Counter(config)
-            times = min(left[g] // m for g, m in need.items())
-            for g, m in need.items():
-                left[g] -= m * times
-            while times:  # actual documents take the places of the rounded sizes
-                heads, step = [], times
-                for g in config:
-                    n, c = group[g][1][0]
-                    step = min(step, c // need[g]) or 1
-                    heads.append(n)
-                if any(group[g][1][0][1] < m for g, m in need.items()):
-                    heads, step = [], 1
-                    for g in config:
-                        heads.append(group[g][1][0][0])
-                        _take(group[g][1], 1)
-                else:
-                    for g, m in need.items():
-                        _take(group[g][1], m * step)
-                runs.append((tuple(heads), step))
-                times -= step
-
-    # Small pieces, longest first, to the tightest room.
+    return out
+
+
+def configurations(sizes: list[int], size: int) -> np.ndarray:
+    """All choices of one to three of the sizes that fit, as rows of indices; ``len(sizes)`` stands for none."""
+    m, s = len(sizes), np.array([*sizes, 0])
+    i, j, k = (x.ravel() for x in np.indices((m, m + 1, m + 1), np.int16))
+    ok = (i <= j) & (j <= k) & (s[i] + s[j] + s[k] <= size)
+    return np.stack([i[ok], j[ok], k[ok]], 1)
+
+
+def solve(sizes: list[int], need: np.ndarray, size: int, rounds: int = 5000) -> list[tuple[list[int], int]]:
+    """How often to use which configuration: the linear programme of least sequences, rounded down.
+
+    Revised simplex: prices of the groups from the basis, the configuration worth most by them comes in. Any basis on the way covers
+    the need, so stopping after ``rounds`` costs sequences, never pieces.
+    """
+    m, config = len(sizes), configurations(sizes, size)
+    times = np.array([size // s for s in sizes])
+    columns = np.diag(times).astype(float)
+    basis = [[k] * int(t) for k, t in enumerate(times)]
+    x = need / times
+    for _ in range(rounds):
+        price = np.append(np.linalg.solve(columns.T, np.ones(m)), 0)
+        worth = price[config].sum(1)
+        best = int(worth.argmax())
+        if worth[best] <= 1 + 1e-9:
+            break
+        entering = [int(k) for k in config[best] if k < m]
+        column = np.bincount(entering, minlength=m).astype(float)
+        step = np.linalg.solve(columns, column)
+        ratio = np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)
+        out = int(ratio.argmin())
+        x = np.maximum(x - ratio[out] * step, 0)
+        x[out] = ratio[out]
+        columns[:, out], basis[out] = column, entering
+    left = need.copy()
+    used = []
+    for c, v in sorted(zip(basis, x, strict=True), key=lambda y: -y[1]):
+        n = min([int(v + 1e-6), *(left[g] // k for g, k in Counter(c).items())])
+        if n:
+            used.append((c, int(n)))
+            left -= int(n) * np.bincount(c, minlength=m)
+    return used
+
+
+def plan(counts: dict[int, int], size: int = SIZE, groups: int = GROUPS) -> list[tuple[tuple[int, ...], int]]:
+    """Runs (lengths in one sequence, number of such sequences) that hold every piece once.
+
+    Where small pieces fill every room anyhow, rounding can cost more than configurations save: all, half or none of the programme's
+    sequences of three are used, whichever needs the fewest sequences (the greatest share on a tie).
+    """
+    group = grouped(counts, size, groups)
+    used = solve([g for g, _ in group], np.array([sum(c for _, c in m) for _, m in group]), size) if group else []
+    plans = (_filled(counts, group, [(c, n // part) for c, n in used], size) for part in (1, 2, 1 << 62))
+    return min(plans, key=lambda runs: sum(n for _, n in runs))
+
+
+def _filled(counts: dict[int, int], group: list, used: list[tuple[list[int], int]], size: int) -> list[tuple[tuple[int, ...], int]]:
+    """The two longest of each configuration of three in place of their rounded sizes, then best-fit for the rest.
+
+    Configurations of one or two sizes come about by best-fit of the actual lengths, without rounding.
+    """
+    held = [deque([n, c] for n, c in members) for _, members in group]
+    runs: Counter = Counter()
+    for config, times in used:
+        if len(config) < 3:
+            continue
+        need = Counter(config[:2])
+        while times:
+            step = min([times, *(held[g][0][1] // k for g, k in need.items())])
+            if step:
+                runs[tuple(held[g][0][0] for g in config[:2])] += step
+                for g, k in need.items():
+                    _take(held[g], k * step)
+            else:
+                step = 1
+                runs[tuple(_take(held[g], 1) for g in config[:2])] += 1
+            times -= step
+
+    # What is left, longest first, to the tightest room.
+    rest = Counter({n: c for n, c in counts.items() if 0 < n <= size // 4})
+    for h in held:
+        for n, c in h:
+            rest[n] += c
     spare: dict[int, Counter] = defaultdict(Counter)
-    for lengths, times in runs:
+    for lengths, times in runs.items():
         spare[size - sum(lengths)][lengths] += times
     rooms = sorted(spare)
-    for n in sorted((n for n in counts if 0 < n <= size // 4), reverse=True):
-        c = counts[n]
+    for n in sorted(rest, reverse=True):
+        c = rest[n]
         while c:
             at = bisect.bisect_left(rooms, n)
             if at == len(rooms):
@@ -138,10 +184,12 @@ def plan(counts: dict[int, int], size: int = SIZE, groups: int = GROUPS) -> list
     return [(lengths, times) for r in sorted(spare) for lengths, times in sorted(spare[r].items()) if lengths]
 
 
-def _take(members: list, n: int) -> None:
+def _take(members: deque, n: int) -> int:
+    length = members[0][0]
     members[0][1] -= n
     if not members[0][1]:
-        members.pop(0)
+        members.popleft()
+    return length
 
 
 def places(runs: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[list, list]]:

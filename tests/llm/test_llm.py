@@ -1,5 +1,6 @@
 """The corpus operators against brute force, on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
+import bisect
 import random
 import re
 import zlib
@@ -278,6 +279,41 @@ def test_plan_holds_every_piece():
         assert held == counts
 
 
+def best_fit(counts, size):
+    """Best-fit decreasing, piece by piece: the number of sequences."""
+    rooms, n_rooms, used = [], Counter(), 0
+    for n in sorted(counts, reverse=True):
+        for _ in range(counts[n]):
+            at = bisect.bisect_left(rooms, n)
+            r = rooms[at] if at < len(rooms) else size
+            if at == len(rooms):
+                used += 1
+            else:
+                n_rooms[r] -= 1
+                if not n_rooms[r]:
+                    rooms.pop(at)
+            if r > n:
+                if not n_rooms[r - n]:
+                    bisect.insort(rooms, r - n)
+                n_rooms[r - n] += 1
+    return used
+
+
+@pytest.mark.parametrize("shape", ["uniform", "lognormal", "halves", "thirds", "narrow", "few", "small"])
+@pytest.mark.parametrize("n", [200, 6000])
+def test_plan_is_never_worse_than_best_fit(shape, n):
+    g = np.random.default_rng(n)
+    x = {
+        "uniform": lambda: g.integers(1, 2049, n), "lognormal": lambda: np.exp(g.normal(6, 1, n)), "halves": lambda: g.integers(900, 1150, n), "thirds": lambda: g.integers(513, 900, n),
+        "narrow": lambda: g.normal(700, 60, n), "few": lambda: g.choice([1024, 1025, 683, 682, 700, 1365, 400], n), "small": lambda: g.integers(1, 300, n),
+    }[shape]()
+    counts = Counter(np.clip(x, 1, 2048).astype(int).tolist())
+    n_plan = sum(times for _, times in packing.plan(counts))
+    assert n_plan <= best_fit(counts, 2048)
+    if shape in ("thirds", "narrow") and n > 1000:  # configurations of three save sequences
+        assert n_plan < 0.98 * best_fit(counts, 2048)
+
+
 def test_licenses(spark, odd, none):
     low = str.maketrans(licenses._UPPER, licenses._LOWER)
     split = lambda x: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", x.translate(low))
