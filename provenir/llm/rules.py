@@ -72,19 +72,51 @@ def measures(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), make, "doc_id long, " + MEASURES)
 
 
+def beta_share(x: float, a: float, b: float) -> float:
+    """Regularised incomplete beta function I_x(a, b), by its continued fraction: some dozens of steps whatever a and b."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_share(1 - x, b, a)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny = 1e-300
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1) or tiny)
+    value = d
+    for m in range(1, 100_000):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + step * d or tiny)
+            c = 1 + step / c or tiny
+            value *= c * d
+        if abs(c * d - 1) < 1e-14:
+            break
+    return front * value
+
+
+def tail(k: int, n: int, p: float) -> float:
+    """Probability of k or fewer of n at a share of p."""
+    return 1.0 if k >= n else beta_share(1 - p, n - k, k + 1)
+
+
 def upper_bound(k: int, n: int, level: float) -> float:
     """Clopper-Pearson: the largest p under which k or fewer of n are not rarer than ``level``."""
     if k >= n:
         return 1.0
-    ways = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) for i in range(k + 1)]
     lo, hi = k / n, 1.0
-    for _ in range(50):
+    for _ in range(60):
         p = (lo + hi) / 2
-        tail = sum(math.exp(w + i * math.log(p) + (n - i) * math.log1p(-p)) for i, w in enumerate(ways)) if 0 < p < 1 else float(p <= 0)
-        lo, hi = (p, hi) if tail > level else (lo, p)
+        lo, hi = (p, hi) if tail(k, n, p) > level else (lo, p)
     return hi
 
 
+def most_lost(n: int, risk: float, level: float) -> int:
+    """The greatest k whose upper bound of k of n is at most ``risk``; -1 if none: the bound rises with k, so this is one search."""
+    lo, hi = -1, n
+    while hi - lo > 1:
+        k = (lo + hi) // 2
+        lo, hi = (k, hi) if tail(k, n, risk) <= level else (lo, k)
+    return lo
+
+
 def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> dict[tuple[str, int], float]:
     """Certified cutoffs by (rule, stratum), from all labelled good documents; at most rules x strata x STEPS counts come back."""
     n = F.greatest(F.col("n_words"), F.lit(1))
@@ -100,8 +132,9 @@ def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: f
             at = Counter({r["bin"]: r["count"] for r in counts if r["rule"] == rule and r["s"] == k})
             total = sum(at.values())
             lost = at[STEPS]
+            most = most_lost(total, risk / len(RULES), delta / (len(RULES) * len(STRATA)))
             for cut in range(STEPS - 1, -1, -1):  # documents in bins above ``cut`` are over cut * step
-                if not total or upper_bound(lost, total, delta / (len(RULES) * len(STRATA))) > risk / len(RULES):
+                if not total or lost > most:
                     break
                 out[rule, k] = cut * step
                 lost += at[cut]

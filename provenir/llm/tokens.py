@@ -5,12 +5,14 @@ endian), its length (4), magic ``PVTK``. A frame holds the ids of consecutive do
 32-bit numbers. The seek table is JSON: for each frame its offset, length, crc32 of the compressed bytes and its documents as
 [doc_id, number of ids]. A reader fetches the footer, the table and then only the frames of the documents asked for.
 
-Documents are dealt to files by ranges of doc_id; a task sorts its range, writes one file under a name of its own (so a
-repeated task never touches another's) and reports it. The reports, one row a file, are kept in the shared folder.
+Documents are dealt to tasks by ranges of doc_id; a task sorts its range and writes files of at most about FILE_BYTES of ids, each
+under a name of its own (so a repeated task never touches another's), and reports them. The reports, one row a file, are kept in
+the shared folder. So a seek table stays small however much a task has.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import uuid
 import zlib
@@ -26,9 +28,9 @@ from pyspark.sql import functions as F
 from .common import Encoder
 
 END_ID = 1
-FRAME_BYTES = 1 << 20
+FRAME_BYTES, FILE_BYTES = 1 << 20, 1 << 28
 MAGIC = b"PVTK"
-MANIFEST = "part int, path string, n_docs long, n_tokens long"
+MANIFEST = "part int, file int, path string, n_docs long, n_tokens long"
 
 
 def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -36,7 +38,7 @@ def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 def write_file(out, documents: Iterator[tuple[int | None, bytes]]) -> tuple[int, int]:
-    """Writes documents (id, ids as bytes) to an open file; returns how many documents and ids."""
+    """Writes documents (id, ids as bytes) to an open file, until they end or FILE_BYTES are reached; returns how many documents and ids."""
     squeeze = zstandard.ZstdCompressor(level=3, write_checksum=True)
     frames, held, size, at, docs, ids = [], [], 0, 0, 0, 0
 
@@ -56,6 +58,8 @@ def write_file(out, documents: Iterator[tuple[int | None, bytes]]) -> tuple[int,
         docs, ids = docs + 1, ids + len(x) // 4
         if size >= FRAME_BYTES:
             flush()
+        if 4 * ids >= FILE_BYTES:
+            break
     flush()
     table = squeeze.compress(json.dumps(frames, separators=(",", ":")).encode())
     out.write(table + at.to_bytes(8, "little") + len(table).to_bytes(4, "little") + MAGIC)
@@ -94,7 +98,7 @@ def read_documents(path: str, wanted: set[int]) -> dict[int, bytes]:
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
-    """Writes the token files of ``docs`` (doc_id, text); (part, path, n_docs, n_tokens) for each file, part ascending with doc_id.
+    """Writes the token files of ``docs`` (doc_id, text); (part, file, path, n_docs, n_tokens) for each file, ascending with doc_id.
 
     A null text is empty and has the end id only; rows with equal or null doc_id are all written (nulls first), equal ids
     in the order of their texts. An empty table writes no document. Other columns are ignored.
@@ -107,25 +111,31 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
     def run(batches):
         part = TaskContext.get().partitionId()
         code = Encoder(tokenizer)
-        name = f"{folder}/tokens-{part:06d}-{uuid.uuid4().hex[:12]}.pvtk"
-        fs, p = _filesystem(name)
-        fs.create_dir(p.rpartition("/")[0], recursive=True)
-        with fs.open_output_stream(p) as out:
-            rows = ((i.as_py(), code.encode(t.as_py()) + end) for b in batches for i, t in zip(b.column(0), b.column(1), strict=True))
-            docs_, ids = write_file(out, rows)
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([docs_]), pa.array([ids])], ["part", "path", "n_docs", "n_tokens"])
+        fs, p = _filesystem(folder)
+        fs.create_dir(p, recursive=True)
+        rows = ((i.as_py(), code.encode(t.as_py()) + end) for b in batches for i, t in zip(b.column(0), b.column(1), strict=True))
+        first = next(rows, None)
+        for k in itertools.count():
+            if first is None:
+                break
+            name = f"{folder}/tokens-{part:06d}-{k:06d}-{uuid.uuid4().hex[:12]}.pvtk"
+            with fs.open_output_stream(_filesystem(name)[1]) as out:
+                docs_, ids = write_file(out, itertools.chain([first], rows))
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([name]), pa.array([docs_]), pa.array([ids])], ["part", "file", "path", "n_docs", "n_tokens"])
+            first = next(rows, None)
 
     return dealt.mapInArrow(run, MANIFEST)
 
 
 def read_tokens(spark: SparkSession, files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) for each document of the files that ``write_tokens`` reported, read from them."""
-    known = files.where("n_docs > 0").orderBy("part").collect()  # a row for each file
+    known = files.orderBy("part", "file").select("path", "n_tokens").collect()  # a row for each file
     rows, before = [], 0
-    for r in known:
-        rows.append((r["path"], before))
+    for k, r in enumerate(known):
+        rows.append((k, r["path"], before))
         before += r["n_tokens"]
-    placed = spark.createDataFrame(rows, "path string, before long").repartition(max(len(rows), 1), "path")
+    # One file a task: ranges of their numbers.
+    placed = spark.createDataFrame(rows, "k int, path string, before long").repartitionByRange(max(len(rows), 1), "k").select("path", "before")
 
     def run(batches):
         for b in batches:

@@ -1,6 +1,7 @@
 """The corpus operators against brute force, on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import bisect
+import math
 import random
 import re
 import zlib
@@ -9,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -204,6 +206,16 @@ def test_rule_cutoffs_hold_their_risk(spark):
 def test_upper_bound():
     assert rules.upper_bound(0, 100, 0.05) == pytest.approx(1 - 0.05 ** (1 / 100), abs=1e-6)
     assert rules.upper_bound(5, 5, 0.05) == 1
+    for n, p in ((1, 0.3), (40, 0.02), (500, 0.005), (500, 0.97)):
+        exact = 0.0
+        for k in range(n):
+            exact += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+            assert rules.tail(k, n, p) == pytest.approx(exact, rel=1e-9, abs=1e-12)
+    for n in (0, 5, 700, 20_000):
+        k = rules.most_lost(n, 0.005, 0.004)
+        assert (k < 0 or rules.upper_bound(k, n, 0.004) <= 0.005 + 1e-12) and rules.upper_bound(k + 1, n, 0.004) > 0.005
+    z = (0.005e9 - rules.most_lost(10**9, 0.005, 0.004)) / math.sqrt(0.005 * 0.995e9)
+    assert z == pytest.approx(2.652, abs=0.01)  # the normal quantile of 0.004
 
 
 def test_encoder_equals_whole_texts(odd):
@@ -213,7 +225,7 @@ def test_encoder_equals_whole_texts(odd):
         assert e.encode(r["text"]) == np.array(ids, "<u4").tobytes()
 
 
-def test_tokens(spark, odd, none, tmp_path):
+def test_tokens(spark, odd, none, tmp_path, monkeypatch):
     t = Tokenizer.from_file(TOKENIZER)
     folder = str(tmp_path / "out")
     files = Scratch(spark).table(tokens.write_tokens(odd, folder, TOKENIZER))
@@ -223,7 +235,7 @@ def test_tokens(spark, odd, none, tmp_path):
         ids = np.array([*t.encode(q["text"] or "", add_special_tokens=False).ids, 1], "<u4")
         assert tuple(r) == (q["doc_id"], start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
-    path = next(r["path"] for r in files.collect() if r["n_docs"])
+    path = files.first()["path"]
     raw = bytearray(open(path, "rb").read())
     with open(path, "rb") as f:
         table = tokens.seek_table(f)
@@ -234,6 +246,9 @@ def test_tokens(spark, odd, none, tmp_path):
     with pytest.raises(ValueError), open(path, "rb") as f:
         list(tokens.read_frame(f, table[0]))
     assert tokens.token_output(none, Scratch(spark), TOKENIZER).count() == 0
+    monkeypatch.setattr(tokens, "FILE_BYTES", 2000)
+    more = Scratch(spark).table(tokens.write_tokens(odd, folder + "2", TOKENIZER))
+    assert more.count() > 2 * files.count() and sorted(tokens.read_tokens(spark, more).collect(), key=lambda r: r["start"]) == got
 
 
 def packed_well(rows, texts):
@@ -379,11 +394,42 @@ def test_mixing(spark, odd, none):
     again = [r.asDict() for r in mixing.mix(odd.repartition(3)).collect()]
     key = lambda r: repr([r[c] for c in ("doc_id", "size", "taken", "position")])
     assert sorted(map(key, rows)) == sorted(map(key, again))
-    out = mixing.curriculum(odd)
-    assert out.columns == odd.columns and out.count() == sum(r["passes"] for r in rows)
+    clash = odd
+    for c in ("h", "copy__", "position__", "position", "row", "i", "at", "copies", "passes", "share"):
+        clash = clash.withColumn(c, F.lit(f"keep {c}"))
+    out = mixing.curriculum(clash)
+    held = out.collect()
+    assert out.columns == clash.columns and len(held) == sum(r["passes"] for r in rows)
+    assert all(r[c] == f"keep {c}" for r in held for c in clash.columns[len(odd.columns) :])
+    passes = defaultdict(list)
+    for r in rows:
+        passes[r["doc_id"]].append(r["passes"])
+    assert Counter(r["doc_id"] for r in held) == +Counter({i: sum(n) for i, n in passes.items()})
+    again = spark.createDataFrame([(1, "a b c", "s"), (1, "a b c", "s"), (2, "d e f g", "s")], "doc_id long, text string, source string")
+    m = mixing.mix(again).collect()
+    assert mixing.curriculum(again).count() == sum(r["passes"] for r in m) > 0
     assert mixing.mix(none).count() == 0 and mixing.curriculum(none).count() == 0
 
 
+def test_targets_of_many_sources(spark):
+    """Against the same rule in plain Python: more sources than tasks, ties, null and empty names, sources without words."""
+    g = random.Random(9)
+    sizes = {f"s{k:03d}": g.choice([0, 5, 5, 40, 1000]) * g.randrange(1, 4) for k in range(150)} | {None: 77, "": 3}
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
+    target, left, open_ = {}, 1.5 * sum(sizes.values()), set(order)
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if level * weight[s] > 2 * sizes[s]}
+        for s in full or open_:
+            target[s] = 2.0 * sizes[s] if full else level * weight[s]
+            left -= target[s]
+        open_ -= full or open_
+    got = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"), Scratch(spark)).collect()
+    assert {r["source"]: round(r["target"], 6) for r in got} == {s: round(x, 6) for s, x in target.items()}
+    assert [r["slope"] for r in sorted(got, key=lambda r: (r["source"] is None, r["source"] or ""))] == [(0.5, -0.5, 0.0)[k % 3] for k in range(152)]
+
+
 def test_vectors(spark):
     g = np.random.default_rng(3)
     rows = []
