@@ -1,8 +1,9 @@
 """Toxicity: logistic regression by FTRL-proximal over hashed word n-grams and skip-grams.
 
 Rates are per coordinate and the L1 term zeroes most weights. Shards of the training rows are learned side by side as Spark
-tasks and their weights averaged (parameter mixing); what is left, some ten thousand non-zero weights, goes to every task. The
-model is fitted on at most about BOUND labelled rows, chosen by a hash of doc_id; scores cover every row.
+tasks; after each pass the changes of their states are averaged and the next pass starts from the average (iterative parameter mixing). What
+is left, some hundred non-zero weights, goes to every task. The model is fitted on at most about BOUND labelled rows, chosen by a
+hash of doc_id, and on COORDINATES coordinates a shard, in the order of another hash; scores cover every row.
 """
 
 from __future__ import annotations
@@ -10,14 +11,15 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, filter_batches, fold, label_rows, map_batches
 
 BOUND = 24_000
-BITS, SHARDS, PASSES = 20, 2, 6
+BITS, SHARDS, PASSES = 20, 8, 6
+COORDINATES = 32_000_000
 ALPHA, BETA, L1, L2 = 8.0, 1.0, 4.0, 0.0
 THRESHOLD = 0.3
 
@@ -35,28 +37,33 @@ def coordinates(text: str | None) -> np.ndarray:
     return (x * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - BITS)
 
 
-def _learn(pdf: pd.DataFrame) -> pd.DataFrame:
-    """FTRL over one shard: its rows are a bounded part of the bounded training sample."""
-    z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
-    bias = 1 << BITS
-    pdf = pdf.sort_values("k")  # a fixed order, whatever the shuffle did
-    rows = [(np.append(np.frombuffer(x, np.uint32), bias).astype(np.int64), y) for x, y in zip(pdf.x, pdf.y, strict=True)]
+def weights(z: np.ndarray, n: np.ndarray, l1) -> np.ndarray:
+    return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
-    def weights(zi, ni, l1):
-        return np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
 
-    for p in range(PASSES):
-        for k in np.random.Generator(np.random.PCG64(p)).permutation(len(rows)):
-            i, y = rows[k]
-            l1 = np.where(i == bias, 0.0, L1)
-            w = weights(z[i], n[i], l1)
-            g = 1 / (1 + np.exp(-np.clip(w.sum(), -30, 30))) - y
-            s = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / ALPHA
-            z[i] += g - s * w
-            n[i] += g * g
-    w = weights(z, n, np.where(np.arange(len(z)) == bias, 0.0, L1))
-    at = np.flatnonzero(w)
-    return pd.DataFrame({"i": at, "w": w[at]})
+def learn(rows: list[tuple[np.ndarray, int]], z: np.ndarray, n: np.ndarray, seed: int) -> None:
+    """One pass of FTRL over (coordinates, label) rows, in an order of its own; changes the state. The last coordinate is the bias."""
+    for k in np.random.Generator(np.random.PCG64(seed)).permutation(len(rows)):
+        i, y = rows[k]
+        l1 = np.append(np.full(len(i) - 1, L1), 0.0)
+        w = weights(z[i], n[i], l1)
+        g = 1 / (1 + np.exp(-np.clip(w.sum(), -30, 30))) - y
+        s = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / ALPHA
+        z[i] += g - s * w
+        n[i] += g * g
+
+
+def _shards(batches, bound: int = COORDINATES) -> dict[int, list[tuple[np.ndarray, int]]]:
+    """Rows by shard, in their order, up to the bound of coordinates a shard."""
+    rows: dict[int, list] = {}
+    held: dict[int, int] = {}
+    for b in batches:
+        for shard, x, y in zip(*(b.column(c) for c in ("shard", "x", "y")), strict=True):
+            k, i = shard.as_py(), np.frombuffer(x.as_buffer(), np.uint32)
+            if held.get(k, 0) < bound:
+                held[k] = held.get(k, 0) + len(i)
+                rows.setdefault(k, []).append((np.append(i, np.uint32(1 << BITS)), y.as_py()))
+    return rows
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray | None:
@@ -70,13 +77,32 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray | None:
 
         return fn
 
-    rows = map_batches(taught, make, "k long, x binary, y int").withColumn("shard", F.pmod(F.xxhash64("k", F.lit(3)), F.lit(SHARDS)))
-    got = rows.groupBy("shard").applyInPandas(_learn, "i long, w double").groupBy("i").agg(F.sum("w").alias("w")).collect()  # 2^BITS at most, in practice the L1 support
-    if not got:
-        return None
-    out = np.zeros((1 << BITS) + 1)
-    out[[r["i"] for r in got]] = [r["w"] / SHARDS for r in got]
-    return out
+    rows = map_batches(taught, make, "k long, x binary, y int").withColumn("shard", F.pmod(F.xxhash64("k", F.lit(3)), F.lit(SHARDS)).cast("int"))
+    # One range a shard, in a fixed order, kept for all passes; what is lost with an executor is computed again.
+    rows = rows.repartitionByRange(SHARDS, "shard").sortWithinPartitions("shard", F.xxhash64("k", F.lit(4)), "k", "x", "y").select("shard", "x", "y").persist()
+    z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
+
+    def one_pass(seed: int):
+        def run(batches):
+            for shard, held in _shards(batches).items():
+                z1, n1 = z.copy(), n.copy()
+                learn(held, z1, n1, seed)
+                at = np.flatnonzero(n1 != n).astype(np.uint32)
+                change = [(z1 - z)[at].astype(np.float32), (n1 - n)[at].astype(np.float32)]
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (at, *change))], ["shard", "at", "z", "n"])
+
+        return rows.mapInArrow(run, "shard int, at binary, z binary, n binary").collect()  # a row for each shard, of 2^BITS numbers at most
+
+    for p in range(PASSES):
+        got = sorted(one_pass(p), key=lambda r: r["shard"])
+        if not got:
+            break
+        for r in got:
+            at = np.frombuffer(r["at"], np.uint32)
+            for state, c in ((z, "z"), (n, "n")):
+                state[at] += np.frombuffer(r[c], np.float32).astype(float) / len(got)
+    rows.unpersist()
+    return weights(z, n, np.append(np.full(1 << BITS, L1), 0.0)) if n[-1] else None
 
 
 class Scorer:

@@ -161,6 +161,44 @@ def test_toxicity(spark, odd, none, labels):
     assert kept.columns == docs.columns and kept.where("toxic = 1").count() < 15 and kept.where("toxic = 0").count() == docs.where("toxic = 0").count()
 
 
+def test_toxicity_against_plain_ftrl(spark):
+    """The model of the documents table against FTRL written out over dictionaries, shard by shard, averaged after each pass."""
+    docs, marks = real(spark)
+    label = defaultdict(int)
+    for r in marks.where("doc_id IS NOT NULL AND toxic IS NOT NULL").collect():
+        label[r["doc_id"]] = max(label[r["doc_id"]], r["toxic"])
+    teach = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2
+    hashes = [F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(toxicity.SHARDS)).alias("shard"), F.xxhash64("doc_id", F.lit(4)).alias("order")]
+    shards = defaultdict(list)
+    for r in docs.where(teach).select("doc_id", "text", *hashes).orderBy("order").collect():
+        if r["doc_id"] in label:
+            shards[r["shard"]].append(([*np.unique(toxicity.coordinates(r["text"])).tolist(), "bias"], label[r["doc_id"]]))
+    weight = lambda i, z, n: 0.0 if i != "bias" and abs(z) <= 4 else -(z - (0 if i == "bias" else math.copysign(4, z))) / ((1 + math.sqrt(n)) / 8)
+    z0, n0 = defaultdict(float), defaultdict(float)
+    for p in range(6):
+        ends = []
+        for rows in shards.values():
+            z, n = z0.copy(), n0.copy()
+            for k in np.random.Generator(np.random.PCG64(p)).permutation(len(rows)):
+                ids, y = rows[k]
+                w = {i: weight(i, z[i], n[i]) for i in ids}
+                g = 1 / (1 + math.exp(-min(max(sum(w.values()), -30), 30))) - y
+                for i in ids:
+                    z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / 8 * w[i]
+                    n[i] += g * g
+            ends.append((z, n))
+        for i in {i for z, _ in ends for i in z}:
+            z0[i], n0[i] = (sum(e[k].get(i, 0.0) for e in ends) / len(ends) for k in (0, 1))
+    want = {i: x for i in z0 if (x := weight(i, z0[i], n0[i]))}
+    got = toxicity.fit(docs, marks)
+    assert {i if i < len(got) - 1 else "bias" for i in np.flatnonzero(got)} == set(want)
+    assert all(got[-1 if i == "bias" else i] == pytest.approx(x, abs=1e-3) for i, x in want.items())
+    scores = {r["doc_id"]: r["score"] for r in toxicity.toxicity_scores(docs, marks).collect()}
+    for r in docs.limit(200).collect():
+        s = want["bias"] + sum(want.get(int(i), 0.0) for i in np.unique(toxicity.coordinates(r["text"])))
+        assert scores[r["doc_id"]] == pytest.approx(1 / (1 + math.exp(-s)), abs=1e-3)
+
+
 def slow_measure(text):
     text = text or ""
     ws = re.findall("[^\x20\x09-\x0d]+", text)
