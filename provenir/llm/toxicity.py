@@ -82,25 +82,31 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray | None:
     rows = rows.repartitionByRange(SHARDS, "shard").sortWithinPartitions("shard", F.xxhash64("k", F.lit(4)), "k", "x", "y").select("shard", "x", "y").persist()
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
 
-    def one_pass(seed: int):
+    def one_pass(seed: int, state):
         def run(batches):
+            z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
+            at, z_at, n_at = state.value
+            z[at], n[at] = z_at, n_at
             for shard, held in _shards(batches).items():
                 z1, n1 = z.copy(), n.copy()
                 learn(held, z1, n1, seed)
-                at = np.flatnonzero(n1 != n).astype(np.uint32)
-                change = [(z1 - z)[at].astype(np.float32), (n1 - n)[at].astype(np.float32)]
-                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (at, *change))], ["shard", "at", "z", "n"])
+                seen = np.flatnonzero(n1 != n).astype(np.uint32)
+                out = [seen, (z1 - z)[seen].astype(np.float32), (n1 - n)[seen].astype(np.float32)]
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in out)], ["shard", "at", "z", "n"])
 
         return rows.mapInArrow(run, "shard int, at binary, z binary, n binary").collect()  # a row for each shard, of 2^BITS numbers at most
 
     for p in range(PASSES):
-        got = sorted(one_pass(p), key=lambda r: r["shard"])
+        at = np.flatnonzero(n).astype(np.uint32)
+        state = docs.sparkSession.sparkContext.broadcast((at, z[at].astype(np.float32), n[at].astype(np.float32)))  # 2^BITS coordinates at most
+        got = sorted(one_pass(p, state), key=lambda r: r["shard"])
+        state.destroy()
         if not got:
             break
         for r in got:
-            at = np.frombuffer(r["at"], np.uint32)
-            for state, c in ((z, "z"), (n, "n")):
-                state[at] += np.frombuffer(r[c], np.float32).astype(float) / len(got)
+            seen = np.frombuffer(r["at"], np.uint32)
+            for total, c in ((z, "z"), (n, "n")):
+                total[seen] += np.frombuffer(r[c], np.float32).astype(float) / len(got)
     rows.unpersist()
     return weights(z, n, np.append(np.full(1 << BITS, L1), 0.0)) if n[-1] else None
 
