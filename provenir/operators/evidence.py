@@ -49,7 +49,9 @@ def nearest(left: DataFrame, right: DataFrame, on: list[str], left_at: str, righ
     hit = F.when(F.col("n__") > 0, F.struct("at__", "id__", "n__"))
     w = Window.partitionBy(*on).orderBy("at__")
     before = F.last(hit, ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first(hit, ignorenulls=True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    # Backwards from the end, so that this frame grows row by row as well.
+    back = Window.partitionBy(*on).orderBy(F.desc("at__")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    after = F.last(hit, ignorenulls=True).over(back)
     m = l_.unionByName(r_).withColumn("b__", before).withColumn("a__", after).where("left__ IS NOT NULL")
     gap = lambda c: F.abs(F.col(f"{c}.at__").cast("long") - F.col("at__").cast("long"))
     first = F.col("a__").isNull() | (gap("b__") <= gap("a__"))

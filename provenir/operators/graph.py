@@ -51,12 +51,14 @@ def ancestors(nodes: DataFrame, scratch: Scratch, max_depth: int = 30) -> DataFr
 
 
 def most_specific(sets: DataFrame, closure: DataFrame) -> DataFrame:
-    """(group_id, id): for each group of nodes that lie on one root-leaf chain, the deepest; other groups have null."""
-    s = sets.select("group_id", "id").distinct()
-    n = s.groupBy("group_id").agg(F.count("*").alias("n"))
-    held = s.join(closure, "id").join(s.select("group_id", F.col("id").alias("ancestor")), ["group_id", "ancestor"])
-    full = held.groupBy("group_id", "id").agg(F.count("*").alias("k")).join(n, "group_id").where("k = n")
-    return n.select("group_id").join(full.select("group_id", "id"), "group_id", "left")
+    """(group_id, id): for each group of nodes that lie on one root-leaf chain, the deepest; other groups have null.
+
+    A group lies on a chain if all its nodes are among the deepest one's ancestors. A node that the closure does not know is on none.
+    """
+    up = closure.groupBy("id").agg(F.collect_set("ancestor").alias("up"))
+    s = sets.select("group_id", "id").distinct().join(up, "id", "left")
+    g = s.groupBy("group_id").agg(F.collect_set("id").alias("ids"), F.max(F.struct(F.size("up").alias("n"), "id", "up")).alias("deep"))
+    return g.select("group_id", F.when(F.forall("ids", lambda x: F.array_contains("deep.up", x)), F.col("deep.id")).alias("id"))
 
 
 def _grown(seen: DataFrame, frontier: DataFrame, k: int, scratch: Scratch) -> DataFrame:

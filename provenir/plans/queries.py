@@ -190,7 +190,7 @@ def q_date_verdict(spark, d):
     """order date against ship date at mixed precision."""
     o = t(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), _as_date(_partial(F.col("o_orderdate"), F.col("o_orderkey"))).alias("a"))
     line = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", _as_date(_partial(F.col("l_shipdate"), F.col("l_linenumber"))).alias("b"))
-    return line.join(o, "l_orderkey").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", dates.date_verdict(F.col("a"), F.col("b")).alias("verdict"), dates.date_closeness(F.col("a"), F.col("b")).alias("closeness"))
+    return line.join(o, "l_orderkey").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", dates.verdict_of(F.col("a"), F.col("b")).alias("verdict"), dates.date_closeness(F.col("a"), F.col("b")).alias("closeness"))
 
 
 _NEAR = """WITH s AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'signup'), p AS (SELECT event_id AS pid, user_id, ts AS pts FROM events WHERE event_type = 'purchase'),

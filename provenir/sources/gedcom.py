@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 _LINE = re.compile(r"^\s*(\d+)\s+(?:@([^@]+)@\s+)?(\w+)(?: (.*))?$")
 SCHEMA = "path string, root long, node long, parent long, level int, xref string, tag string, value string"
 #: Character sets named in a header and their codecs.
-CODECS = {"UTF-8": "utf-8", "UNICODE": "utf-16", "ASCII": "ascii", "ANSI": "cp1252"}
+CODECS = {"UTF-8": "utf-8", "UTF8": "utf-8", "ASCII": "utf-8", "ANSI": "cp1252"}
+_ENDS = re.compile("\r\n|\r|\n")
 
 
 def decode(raw: bytes, path: str = "") -> str:
@@ -24,7 +25,7 @@ def decode(raw: bytes, path: str = "") -> str:
         return raw.decode("utf-16-le")
     if raw[:2] == b"\0" b"0":
         return raw.decode("utf-16-be")
-    said = re.search(rb"^\s*1\s+CHAR\s+(\S+)", raw[:4096], re.M)
+    said = re.search(rb"^\s*1\s+CHAR\s+(\S+)", raw[:65_536].replace(b"\r", b"\n"), re.M)
     name = said[1].decode("ascii").upper() if said else "UTF-8"
     if name not in CODECS:
         raise ValueError(f"{path}: character set {name} is not read")
@@ -35,12 +36,13 @@ def nodes(text: str) -> list[list]:
     """[root, node, parent, level, xref, tag, value]; CONC and CONT lines are folded into the value that they continue."""
     out: list[list] = []
     stack: list[list] = []
-    for line in text.splitlines():
+    for line in _ENDS.split(text):
         m = _LINE.match(line)
         if not m:
             continue
         level, tag, value = int(m[1]), m[3], m[4] or ""
-        del stack[level:]
+        while stack and stack[-1][3] >= level:  # levels may be skipped
+            stack.pop()
         if tag in ("CONC", "CONT") and stack:
             stack[-1][6] += ("\n" if tag == "CONT" else "") + value
             continue

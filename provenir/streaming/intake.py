@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.evidence import latest
+
 
 def archive_files(spark: SparkSession, inbox: str, archive: str, checkpoint: str) -> StreamingQuery:
     """Appends (sha256, path, bytes, content) of files not yet held to ``archive``; stops when the inbox is read.
@@ -17,7 +19,8 @@ def archive_files(spark: SparkSession, inbox: str, archive: str, checkpoint: str
 
     def keep(batch: DataFrame, _: int) -> None:
         new = batch.select(F.sha2("content", 256).alias("sha256"), "path", F.col("length").alias("bytes"), "content")
-        new = new.groupBy("sha256").agg(F.min_by(F.struct("path", "bytes", "content"), "path").alias("r")).select("sha256", "r.*")
+        first = new.groupBy("sha256").agg(F.min("path").alias("path"))  # contents stay where they are
+        new = new.join(first, ["sha256", "path"], "left_semi")
         try:
             held = batch.sparkSession.read.parquet(archive).select("sha256")
         except Exception as e:  # the first batch finds no archive
@@ -30,6 +33,5 @@ def archive_files(spark: SparkSession, inbox: str, archive: str, checkpoint: str
 
 
 def current(log: DataFrame, key: str, order: str, superseded_by: str = "superseded_by") -> DataFrame:
-    """The rows of an append-only log that nothing supersedes, one a key."""
-    gone = log.where(F.col(superseded_by).isNotNull()).select(F.col(key)).distinct()
-    return log.join(gone, key, "left_anti").dropDuplicates([key])
+    """The row of each key that nothing supersedes, the last by ``order`` of several; a key whose rows are all superseded has none."""
+    return latest(log.where(F.col(superseded_by).isNull()), [key], [order]).select(*log.columns)

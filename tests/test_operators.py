@@ -172,3 +172,20 @@ def test_checklist(spark):
     found = spark.createDataFrame([(1, "birth", False), (1, "birth", True), (2, "census", None), (1, "index", False), (9, "birth", True)], "k int, rule string, held boolean")
     got = {(r["k"], r["rule"]): r["status"] for r in evidence.checklist(people, rules, found, "k").collect()}
     assert got == {(1, "census"): "missing", (1, "birth"): "held", (1, "index"): "cited", (2, "census"): "cited", (2, "birth"): "missing", (2, "index"): "n/a"}
+
+
+def test_lineage_lines_and_levels():
+    rows = gedcom.nodes("0 HEAD\n1 NOTE a\x0cb c d\n0 @I1@ INDI\r2 NAME x\r2 SEX F\r\n1 BIRT\n3 DATE 1900")
+    by = {r[5]: r for r in rows}
+    assert by["NOTE"][6] == "a\x0cb c d"
+    assert by["NAME"][2] == by["SEX"][2] == by["INDI"][1] and by["DATE"][2] == by["BIRT"][1]
+    head = b"0 HEAD\r1 NOTE " + b"x" * 9000 + b"\r1 CHAR ANSI\r"
+    assert gedcom.decode(head + b"1 NOTE \xe9").endswith("é") and gedcom.decode(b"0 HEAD\n1 CHAR UTF8\n1 NOTE \xc3\xa9").endswith("é")
+    with pytest.raises(ValueError):
+        gedcom.decode(b"0 HEAD\n1 CHAR UNICODE\n")
+
+
+def test_current_rows(spark):
+    log = spark.createDataFrame([("k", 1, "r2", "old"), ("k", 2, None, "new"), ("m", 1, None, "a"), ("m", 3, None, "b"), ("z", 1, "r9", "gone")], "key string, at int, superseded_by string, v string")
+    assert sorted((r["key"], r["v"]) for r in intake.current(log, "key", "at").collect()) == [("k", "new"), ("m", "b")]
+    assert intake.current(log, "key", "at").columns == log.columns
