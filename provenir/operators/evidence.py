@@ -139,3 +139,31 @@ def checklist(subjects: DataFrame, rules: list[tuple[str, Column]], found: DataF
     best = found.groupBy(key, "rule").agg(F.max(F.coalesce("held", F.lit(False))).alias("held"))
     status = F.when(F.col("held"), "held").when(~F.col("held"), "cited").when(F.col("applies"), "missing").otherwise("n/a")
     return subjects.select(key, rows).select(key, "r.*").join(best, [key, "rule"], "left").select(key, "rule", status.alias("status"))
+
+
+def decided(log: DataFrame, by: list[str], value: str, owner: str, at: list[str]) -> DataFrame:
+    """(by..., by_owner, value): the standing decision of each key, the owner's last or else code's first; ties go to the smaller value."""
+    last = F.max(F.when(F.col(owner), F.struct(*at))).alias("last")
+    first = F.min(F.when(~F.col(owner), F.struct(*at))).alias("first")
+    g = log.groupBy(*by).agg(last, first)
+    here = F.when(F.col("last").isNotNull(), F.col(owner) & (F.struct(*at) == F.col("last"))).otherwise(~F.col(owner) & (F.struct(*at) == F.col("first")))
+    return log.join(g, by).where(here).groupBy(*by).agg(F.bool_or(owner).alias("by_owner"), F.min(value).alias(value))
+
+
+def step_plan(wanted: DataFrame, existing: DataFrame, key: str) -> DataFrame:
+    """(key, action) for the steps of a plan; ``existing`` has (key, status, owner, runs, done), status open, skipped, gone or closed.
+
+    Wanted: insert, keep, plan again (skipped), reopen (gone) or leave closed. Not wanted: closed ones stay so; done and the owner's
+    are kept, those with runs are skipped, the rest is deleted.
+    """
+    both = wanted.select(key, F.lit(True).alias("w__")).dropDuplicates([key]).join(existing.select(key, "status", "owner", "runs", "done"), key, "full_outer")
+    s, w = F.col("status"), F.col("w__")
+    action = (
+        F.when(w & s.isNull(), "insert")
+        .when(w, F.when(s == "skipped", "plan again").when(s == "gone", "reopen").when(s == "open", "keep").otherwise("leave closed"))
+        .when(s.isin("gone", "closed"), "leave closed")
+        .when(F.col("done") | F.col("owner"), "keep")
+        .when(F.col("runs"), "skip")
+        .otherwise("delete")
+    )
+    return both.select(key, action.alias("action"))

@@ -145,3 +145,33 @@ def path_standing(paths: DataFrame, links: DataFrame) -> DataFrame:
     )
     order = Window.partitionBy("start", "goal").orderBy("n_links", F.col("weakest").asc_nulls_last(), "path")
     return stood.withColumn("n_links", n).withColumn("place", F.row_number().over(order)).select("start", "goal", "path", "n_links", "weakest", "owed", "place")
+
+
+def chain_ends(rows: DataFrame, key: str, after: str, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
+    """(key, latest, steps): the end of the chain that starts at each row; ``after`` names the row that takes its place, or null.
+
+    Pointers double each round, so a chain of n takes about log n rounds. A name that is no row ends the chain there; a circle raises.
+    """
+    at = scratch.table(rows.select(F.col(key), F.coalesce(after, key).alias("latest"), F.col(after).isNotNull().cast("int").alias("steps")))
+    for _ in range(max_rounds):
+        step = at.select(F.col(key).alias("latest"), F.col("latest").alias("l2"), F.col("steps").alias("s2"))
+        new = at.join(step, "latest", "left").select(key, F.coalesce("l2", "latest").alias("latest"), (F.col("steps") + F.coalesce("s2", F.lit(0))).alias("steps"), (F.coalesce("s2", F.lit(0)) > 0).alias("moved"))
+        new = scratch.table(new)
+        scratch.drop(at)
+        at = new.drop("moved")
+        if new.where("moved").isEmpty():
+            return at
+    raise RuntimeError("a circle of rows that take one another's place")
+
+
+def ancestors_of(nodes: DataFrame, start: DataFrame, scratch: Scratch, max_depth: int | None = None) -> DataFrame:
+    """(id, ancestor, depth) for the nodes of ``start`` (id) alone, generation by generation, to the last parent or max_depth."""
+    up = nodes.where("parent IS NOT NULL").select(F.col("id").alias("ancestor"), "parent")
+    out = level = scratch.table(start.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth")).distinct())
+    for d in count(1) if max_depth is None else range(1, max_depth + 1):
+        step = level.join(up, "ancestor").select("id", F.col("parent").alias("ancestor"), F.lit(d).alias("depth")).distinct()
+        level = scratch.table(step.join(out.select("id", "ancestor"), ["id", "ancestor"], "left_anti"))
+        if level.isEmpty():
+            break
+        out = _grown(out, level, d, scratch)
+    return out
