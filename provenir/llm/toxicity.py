@@ -1,7 +1,7 @@
 """Toxicity: logistic regression by FTRL-proximal over hashed word n-grams and skip-grams.
 
 Rates are per coordinate and the L1 term zeroes most weights. Shards of the training rows are learned side by side as Spark
-tasks; after each pass the changes of their states are averaged and the next pass starts from the average (iterative parameter mixing). What
+tasks; after each round of PASSES passes the changes of their states are averaged and the next round starts from the average (iterative parameter mixing). What
 is left, some hundred non-zero weights, goes to every task. The model is fitted on at most about BOUND labelled rows, chosen by a
 hash of doc_id, and on COORDINATES coordinates a shard, in the order of another hash; scores cover every row.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import bounded, filter_batches, fold, label_rows, map_batches
 
 BOUND = 24_000
-BITS, SHARDS, PASSES = 20, 8, 6
+BITS, SHARDS, ROUNDS, PASSES = 20, 4, 3, 2
 COORDINATES = 32_000_000
 ALPHA, BETA, L1, L2 = 8.0, 1.0, 4.0, 0.0
 THRESHOLD = 0.3
@@ -88,18 +88,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray | None:
         return fn
 
     rows = map_batches(taught, make, "k long, x binary, y int").withColumn("shard", F.pmod(F.xxhash64("k", F.lit(3)), F.lit(SHARDS)).cast("int"))
-    # One range a shard, in a fixed order, kept for all passes; what is lost with an executor is computed again.
+    # One range a shard, in a fixed order, kept for all rounds; what is lost with an executor is computed again.
     rows = rows.repartitionByRange(SHARDS, "shard").sortWithinPartitions("shard", F.xxhash64("k", F.lit(4)), "k", "x", "y").select("shard", "x", "y").persist()
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
 
-    def one_pass(seed: int, state):
+    def one_round(k: int, state):
         def run(batches):
             z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
             at, z_at, n_at = state.value
             z[at], n[at] = z_at, n_at
             for shard, held in _shards(batches).items():
                 z1, n1 = z.copy(), n.copy()
-                learn(held, z1, n1, seed)
+                for p in range(PASSES):
+                    learn(held, z1, n1, PASSES * k + p)
                 seen = np.flatnonzero(n1 != n)
                 # Many coordinates of a text have equal changes, and gaps between coordinates are small: they are sent squeezed.
                 out = [np.diff(seen, prepend=0).astype(np.uint32), (z1 - z)[seen].astype(np.float32), (n1 - n)[seen].astype(np.float32)]
@@ -107,10 +108,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray | None:
 
         return rows.mapInArrow(run, "shard int, at binary, z binary, n binary").collect()  # a row for each shard, of 2^BITS numbers at most
 
-    for p in range(PASSES):
+    for k in range(ROUNDS):
         at = np.flatnonzero(n).astype(np.uint32)
         state = docs.sparkSession.sparkContext.broadcast((at, z[at].astype(np.float32), n[at].astype(np.float32)))  # 2^BITS coordinates at most
-        got = sorted(one_pass(p, state), key=lambda r: r["shard"])
+        got = sorted(one_round(k, state), key=lambda r: r["shard"])
         state.destroy()
         if not got:
             break
