@@ -120,10 +120,22 @@ def complete_link(df: DataFrame, by: list[str], order: list[str], agree, schema:
     return df.groupBy(*by).applyInPandas(group, schema)
 
 
-def fill_from(kept: DataFrame, others: DataFrame, by: list[str], columns: list[str], order: list[Column]) -> DataFrame:
-    """Fills nulls of the kept rows with the first non-null of the others in order."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    best = others.select(*by, *[F.first(c, ignorenulls=True).over(w).alias(c + "__") for c in columns]).dropDuplicates(by)
+def event_sides(df: DataFrame, by: list[str], compared: list[str], order: str, agree) -> DataFrame:
+    """``df`` with its ``side``: complete-link groups over the distinct compared values of each key, so that repeats cost a task nothing.
+
+    ``agree`` takes two rows as dicts. Values come in the order of their smallest ``order``.
+    """
+    one = df.groupBy(*by, *compared).agg(F.min(order).alias(order))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in one.schema) + ", side int"
+    sided = complete_link(one, by, [order], agree, schema).select(*[F.col(c).alias(c + "__") for c in [*by, *compared]], "side")
+    same = [F.col(c).eqNullSafe(F.col(c + "__")) for c in [*by, *compared]]
+    return df.join(sided, same).select(*df.columns, "side")
+
+
+def fill_from(kept: DataFrame, others: DataFrame, by: list[str], columns: list[str], order: list[str]) -> DataFrame:
+    """Fills nulls of the kept rows with the first non-null of the others in ascending order: one partial aggregation, no window."""
+    first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct(*[F.col(o).alias(f"o{k}") for k, o in enumerate(order)], F.col(c).alias("v"))))["v"]
+    best = others.groupBy(*by).agg(*[first(c).alias(c + "__") for c in columns])
     out = kept.join(best, by, "left")
     return out.select(*[F.coalesce(c, c + "__").alias(c) if c in columns else F.col(c) for c in kept.columns])
 

@@ -92,3 +92,36 @@ def members(tree: DataFrame) -> DataFrame:
     role = F.when(F.col("tag") == "CHIL", "child").otherwise("partner")
     m = tree.where("tag IN ('HUSB', 'WIFE', 'CHIL')").select("path", "parent", F.regexp_replace("value", "@", "").alias("person"), role.alias("role"))
     return fam.join(m, ["path", "parent"]).select("path", "family", "person", "role")
+
+
+def citations(tree: DataFrame) -> DataFrame:
+    """(path, root, of, source, title, page, url, record): what each node cites, with the source record's title and the citation's own details."""
+    titled = tree.where("tag = 'TITL' AND level = 1").select("path", F.col("parent").alias("s"), "value")
+    sources = tree.where("tag = 'SOUR' AND level = 0").select("path", F.col("node").alias("s"), F.col("xref").alias("source"))
+    titles = sources.join(titled, ["path", "s"]).groupBy("path", "source").agg(F.min("value").alias("title"))
+    heads = tree.where("tag = 'HEAD' AND level = 0").select("path", F.col("node").alias("root"))
+    cited = tree.where("tag = 'SOUR' AND level > 0").join(heads, ["path", "root"], "left_anti")
+    cited = cited.select("path", "root", F.col("parent").alias("of"), F.col("node").alias("c"), F.regexp_replace("value", "@", "").alias("source"))
+    own = tree.where("tag IN ('PAGE', '_APID')").groupBy("path", F.col("parent").alias("c")).pivot("tag", ["PAGE", "_APID"]).agg(F.min("value"))
+    data = tree.where("tag = 'DATA'").select("path", F.col("parent").alias("c"), F.col("node").alias("data"))
+    url = tree.where("tag = 'WWW'").select("path", F.col("parent").alias("data"), "value").join(data, ["path", "data"]).groupBy("path", "c").agg(F.min("value").alias("url"))
+    out = cited.join(titles, ["path", "source"], "left").join(own, ["path", "c"], "left").join(url, ["path", "c"], "left")
+    return out.select("path", "root", "of", "source", "title", F.col("PAGE").alias("page"), "url", F.col("_APID").alias("record"))
+
+
+def cited_records(tree: DataFrame) -> DataFrame:
+    """(path, source, owners): the individuals and families whose statements rest on each source, sorted."""
+    owner = tree.where("level = 0 AND tag IN ('INDI', 'FAM')").select("path", F.col("node").alias("root"), F.col("xref").alias("owner"))
+    return citations(tree).join(owner, ["path", "root"]).groupBy("path", "source").agg(F.array_sort(F.collect_set("owner")).alias("owners"))
+
+
+def exporter(tree: DataFrame, registry: DataFrame) -> DataFrame:
+    """(path, id): the program that wrote each file, by the first registry row (id, name) whose name opens a name in the header; null if none does."""
+    key = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    files = tree.select("path").distinct()
+    sour = tree.where("tag = 'HEAD' AND level = 0").select("path", F.col("node").alias("parent")).join(tree.where("tag = 'SOUR' AND level = 1"), ["path", "parent"])
+    said = sour.select("path", key("value").alias("said")).union(sour.select("path", F.col("node").alias("parent")).join(tree.where("tag IN ('NAME', 'CORP')"), ["path", "parent"]).select("path", key("value")))
+    known = registry.select("id", key("name").alias("k")).where("k <> ''")
+    # Header rows are one to three a file and the registry is a short dimension: names meet on their first letter.
+    hit = said.withColumn("a", F.substring("said", 1, 1)).join(known.withColumn("a", F.substring("k", 1, 1)), "a").where(F.startswith("said", F.col("k")))
+    return files.join(hit.groupBy("path").agg(F.min("id").alias("id")), "path", "left")
