@@ -110,3 +110,26 @@ def stale_readings(readings: DataFrame, versions: DataFrame, by: list[str], orde
     rest = [c for c in readings.columns if c not in by]
     last = readings.groupBy(*by).agg(F.max(F.struct(*order, *[c for c in rest if c not in order])).alias("r")).select(*by, "r.*")
     return last.join(versions, "reader").where("version <> now")
+
+
+def unplaced(facts: DataFrame, events: DataFrame, once: list[str]) -> DataFrame:
+    """(id, reason, choices) of facts (id, owner, kind, year) whose event (event, owner, kind, year) is a choice.
+
+    An undated fact has several events of its kind; a dated one fits several, or none of several where a life has its kind once.
+    Events are gathered by owner, kind and year before the facts come; no pair of rows is made.
+    """
+    by = ["owner", "kind"]
+    every = events.groupBy(*by).agg(F.array_sort(F.collect_set("event")).alias("every"))
+    fit = events.where("year IS NOT NULL").groupBy(*by, "year").agg(F.array_sort(F.collect_set("event")).alias("fit"))
+    f = facts.join(every, by).join(fit, [*by, "year"], "left")
+    n, fits = F.size("every"), F.coalesce(F.size("fit"), F.lit(0))
+    reason = F.when(F.col("year").isNull(), F.when(n > 1, "undated")).when(fits > 1, "several fit").when((fits < 1) & (n > 1) & F.col("kind").isin(once), "none fits")
+    f = f.withColumn("reason", reason).where("reason IS NOT NULL")
+    return f.select("id", "reason", F.when(F.col("reason") == "several fit", F.col("fit")).otherwise(F.col("every")).alias("choices"))
+
+
+def resumed(waiting: DataFrame, arrived: DataFrame) -> DataFrame:
+    """(person, n_open, resumes) of people waiting (person, page): how many of their pages are still out, and whether one of these arrived."""
+    a = arrived.select("page").where("page IS NOT NULL").distinct().withColumn("here", F.lit(True))
+    w = waiting.select("person", "page").distinct().join(a, "page", "left")
+    return w.groupBy("person").agg(F.count_if(F.col("here").isNull()).alias("n_open"), F.coalesce(F.bool_or("here"), F.lit(False)).alias("resumes"))

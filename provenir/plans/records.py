@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import kin, names, places
+from ..functions import dates, kin, names, places
 from ..operators import evidence, records
 from ..session import Scratch
 from .matching import _PERSON, _people, given_sql, soundex_sql
@@ -178,3 +178,46 @@ def q_fill_missing(spark, d):
     o = F.col("o_orderkey")
     k = t(spark, d, "orders").select(o, "o_custkey", F.when(o % 3 == 0, F.col("o_orderstatus")).alias("status"), F.when(o % 2 == 0, F.col("o_orderpriority")).alias("priority"))
     return evidence.fill_from(k, k, ["o_custkey"], ["status", "priority"], ["o_orderkey"]).select("o_orderkey", "status", "priority")
+
+
+@query("""WITH f AS (SELECT o_orderkey AS id, o_custkey AS owner, o_orderstatus AS kind, CASE WHEN o_orderkey % 4 > 0 THEN year(o_orderdate) END AS y FROM orders WHERE o_orderkey % 3 > 0),
+e AS (SELECT o_custkey AS owner, o_orderstatus AS kind, year(o_orderdate) AS ey FROM orders WHERE o_orderkey % 3 = 0),
+x AS (SELECT id, y, f.kind AS kind, count(*) AS n, count(*) FILTER (ey = y) AS fits FROM f JOIN e ON e.owner = f.owner AND e.kind = f.kind GROUP BY ALL)
+SELECT id, CASE WHEN y IS NULL THEN 'undated' WHEN fits > 1 THEN 'several fit' ELSE 'none fits' END AS reason, (CASE WHEN fits > 1 THEN fits ELSE n END)::INT AS n_choices FROM x WHERE (y IS NULL AND n > 1) OR fits > 1 OR (y IS NOT NULL AND fits = 0 AND n > 1 AND kind = 'F')""")
+def q_unplaced(spark, d):
+    """Facts whose event is a choice, and among how many."""
+    o = F.col("o_orderkey")
+    rows = t(spark, d, "orders").select(o, F.col("o_custkey").alias("owner"), F.col("o_orderstatus").alias("kind"), F.year("o_orderdate").alias("year"))
+    facts = rows.where(o % 3 > 0).select(o.alias("id"), "owner", "kind", F.when(o % 4 > 0, F.col("year")).alias("year"))
+    out = records.unplaced(facts, rows.where(o % 3 == 0).withColumnRenamed("o_orderkey", "event"), ["F"])
+    return out.select("id", "reason", F.size("choices").alias("n_choices"))
+
+
+@query("""SELECT l_orderkey AS person, count(DISTINCT l_suppkey) FILTER (l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 3000))::BIGINT AS n_open, bool_or(l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 3000)) AS resumes
+FROM lineitem WHERE l_returnflag = 'N' GROUP BY l_orderkey""")
+def q_resumed(spark, d):
+    """ST3: people who wait for pages, how many are still out, and whether one came."""
+    waiting = t(spark, d, "lineitem").where("l_returnflag = 'N'").select(F.col("l_orderkey").alias("person"), F.col("l_suppkey").alias("page"))
+    return records.resumed(waiting, t(spark, d, "supplier").where("s_acctbal > 3000").select(F.col("s_suppkey").alias("page")))
+
+
+@query("""WITH x AS (SELECT o_orderkey AS id, strftime(o_orderdate, '%Y') AS y, CASE WHEN o_orderkey % 5 = 0 THEN '00' ELSE strftime(o_orderdate, '%m') END AS m, CASE WHEN o_orderkey % 3 = 0 THEN '00' ELSE strftime(o_orderdate, '%d') END AS d FROM orders)
+SELECT id, CASE WHEN m = '00' THEN y WHEN d = '00' THEN y || '-' || m ELSE y || '-' || m || '-' || d END AS month_first, CASE WHEN id % 7 = 0 THEN NULL WHEN m = '00' THEN y WHEN d = '00' THEN y || '-' || m ELSE y || '-' || m || '-' || d END AS zero_filled,
+CASE WHEN id % 4 = 0 THEN y ELSE y || '-' || m || '-' || d END AS by_column FROM x""")
+def q_source_dates(spark, d):
+    """dates in the forms of single sources, with zeros or blanks for what is unknown."""
+    o = F.col("o_orderkey")
+    part = lambda form: F.date_format("o_orderdate", form)
+    y, m, day = part("yyyy"), F.when(o % 5 == 0, "00").otherwise(part("MM")), F.when(o % 3 == 0, "00").otherwise(part("dd"))
+    first = F.concat(m, F.when(o % 2 == 0, "/").otherwise("-"), day, F.when(o % 2 == 0, "/").otherwise("-"), y)
+    zero = F.concat_ws("-", F.when(o % 7 == 0, "0000").otherwise(y), m, day)
+    return t(spark, d, "orders").select(o.alias("id"), dates.month_first_date(first).alias("month_first"), dates.zero_filled_date(zero).alias("zero_filled"), dates.column_date(y, F.when(o % 4 == 0, " ").otherwise(m), day).alias("by_column"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN (c_custkey % 30)::VARCHAR END AS assembly, CASE WHEN c_custkey % 3 = 0 THEN c_nationkey || 'A' END AS ward, CASE WHEN c_custkey % 5 = 0 THEN c_nationkey || '-' || c_custkey END AS enumeration FROM customer""")
+def q_districts(spark, d):
+    """districts that a place writes among its parts."""
+    k, n = F.col("c_custkey"), F.col("c_nationkey").cast("string")
+    written = F.concat_ws(", ", F.lit("Edwards"), F.when(k % 2 == 0, F.concat(F.lit("A.D. "), (k % 30).cast("string"))), F.when(k % 3 == 0, F.concat(F.lit("Ward "), n, F.lit("A"))), F.when(k % 5 == 0, F.concat(F.lit("E. D. "), n, F.lit("-"), k.cast("string"))), F.lit("Kent 7"))
+    found = places.districts(written)
+    return t(spark, d, "customer").select("c_custkey", found["assembly_district"].alias("assembly"), found["ward"].alias("ward"), found["enumeration_district"].alias("enumeration"))

@@ -125,3 +125,23 @@ def exporter(tree: DataFrame, registry: DataFrame) -> DataFrame:
     # Header rows are one to three a file and the registry is a short dimension: names meet on their first letter.
     hit = said.withColumn("a", F.substring("said", 1, 1)).join(known.withColumn("a", F.substring("k", 1, 1)), "a").where(F.startswith("said", F.col("k")))
     return files.join(hit.groupBy("path").agg(F.min("id").alias("id")), "path", "left")
+
+
+def spouse_facts(tree: DataFrame, types: tuple[str, ...] = ("MARR", "DIV")) -> DataFrame:
+    """(path, owner, fact, date, place, said_by): family facts, those written on a spouse among them, each once.
+
+    A spouse's fact goes to their one family, or of several to the only one with a fact of that kind in that year; else it stays
+    theirs. Facts of one owner, kind, date and place are one; ``said_by`` lists the spouses who state it.
+    """
+    f = facts(tree, types)
+    roots = tree.where("level = 0 AND tag IN ('INDI', 'FAM')").select("path", F.col("node").alias("root"), F.col("xref").alias("owner"), (F.col("tag") == "FAM").alias("family"))
+    f = f.join(roots.drop("root"), ["path", "owner"]).withColumn("year", F.regexp_extract(F.coalesce("date", F.lit("")), r"(\d{4})\s*$", 1))
+    own, said = f.where("family"), f.where("NOT family").drop("family").withColumnRenamed("owner", "person")
+    fams = tree.where("tag = 'FAMS'").select("path", "root", F.regexp_replace("value", "@", "").alias("fam")).join(roots.where("NOT family"), ["path", "root"]).select("path", F.col("owner").alias("person"), "fam").distinct()
+    only = fams.groupBy("path", "person").agg(F.min("fam").alias("only"), F.count("*").alias("n")).where("n = 1").drop("n")
+    dated = own.where("year <> ''").select("path", F.col("owner").alias("fam"), "fact", "year").distinct()
+    near = fams.join(dated, ["path", "fam"]).groupBy("path", "person", "fact", "year").agg(F.min("fam").alias("near"), F.count("*").alias("n")).where("n = 1").drop("n")
+    said = said.join(only, ["path", "person"], "left").join(near, ["path", "person", "fact", "year"], "left")
+    said = said.select("path", F.coalesce("only", "near", "person").alias("owner"), "fact", "date", "place", F.col("person").alias("by"))
+    every = own.select("path", "owner", "fact", "date", "place", F.lit(None).cast("string").alias("by")).union(said)
+    return every.groupBy("path", "owner", "fact", "date", "place").agg(F.array_sort(F.collect_set("by")).alias("said_by"))

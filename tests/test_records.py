@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from provenir.functions import kin, places
+from provenir.functions import dates, kin, places
 from provenir.operators import evidence, records
 from provenir.session import Scratch
 from provenir.sources import gedcom
@@ -91,3 +91,40 @@ def test_sides_of_repeated_values(spark):
     agree = lambda a, b: a["v"] is not None and b["v"] is not None and abs(a["v"] - b["v"]) <= 2
     got = {r["id"]: r["side"] for r in evidence.event_sides(df, ["k"], ["v"], "id", agree).collect()}
     assert got[1] == got[2] == got[4] == 0 and got[3] == 1 and got[5] == 2 and got[6] == got[7] == 0
+
+
+def test_family_facts_of_spouses(spark):
+    text = """0 @I1@ INDI
+1 FAMS @F1@
+1 MARR
+2 DATE 4 May 1870
+0 @I2@ INDI
+1 FAMS @F1@
+1 FAMS @F2@
+1 MARR
+2 DATE 4 May 1870
+1 MARR
+2 DATE 1880
+1 MARR
+2 DATE 1899
+0 @F1@ FAM
+1 MARR
+2 DATE 4 May 1870
+0 @F2@ FAM
+1 MARR
+2 DATE 1 Jun 1880
+0 @I3@ INDI
+1 MARR
+"""
+    tree = spark.createDataFrame([("f", *r) for r in gedcom.nodes(text)], gedcom.SCHEMA)
+    got = {(r["owner"], r["date"]): r["said_by"] for r in gedcom.spouse_facts(tree).collect()}
+    assert got == {("F1", "4 May 1870"): ["I1", "I2"], ("F2", "1 Jun 1880"): [], ("F2", "1880"): ["I2"], ("I2", "1899"): ["I2"], ("I3", None): ["I3"]}
+
+
+def test_source_dates_and_districts(spark):
+    df = spark.createDataFrame([("06/11/1946", "1810-06-25"), ("02-00-1915", "1863-00-00"), ("00/11/1946", "0000-00-00"), ("17/11/1946", "1863-05-00"), (None, None), ("x", "x")], "a string, b string")
+    got = [tuple(r) for r in df.select(dates.month_first_date(F.col("a")), dates.zero_filled_date(F.col("b"))).collect()]
+    assert got == [("1946-06-11", "1810-06-25"), ("1915-02", "1863"), ("1946", None), ("1946", "1863-05"), (None, None), (None, None)]
+    df = spark.createDataFrame([("Oak, A.D. 01, E.D. 06-2B, Kent",), ("WARD 3, Skyward 9",), ("Ward 3, Ward 4",), (None,)], "p string")
+    got = [r[0] for r in df.select(places.districts(F.col("p"))).collect()]
+    assert got == [{"assembly_district": "01", "enumeration_district": "06-2B"}, {}, {"ward": "3"}, {}]
