@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import places
+from ..functions import names, places
 from ..session import Scratch
+from .evidence import top_per_group
 from .graph import connected_components
 
 
@@ -133,3 +134,58 @@ def resumed(waiting: DataFrame, arrived: DataFrame) -> DataFrame:
     a = arrived.select("page").where("page IS NOT NULL").distinct().withColumn("here", F.lit(True))
     w = waiting.select("person", "page").distinct().join(a, "page", "left")
     return w.groupBy("person").agg(F.count_if(F.col("here").isNull()).alias("n_open"), F.coalesce(F.bool_or("here"), F.lit(False)).alias("resumes"))
+
+
+#: Words of a relationship, besides the four kinds, on which a person may be created.
+FAMILY_WORD = r"(?i)\bhalf\b|grand(?:son|daughter|child)|in-law"
+
+
+def creates(editable: Column, tier: Column, obituary: Column, name: Column, looked: Column, made: Column, ties: Column) -> Column:
+    """Struct (creates, why): whether a record's entry makes a new person.
+
+    A page that anyone edits makes nobody. The record is of tier T1 or T2, or an obituary of T3 that has been read; it gives a given
+    name and another word; the present matcher has ``looked`` and found nobody, unless the person is ``made`` already; and the record
+    itself, not its indexer, states a family relationship to a person accepted on it. ``ties`` are structs (kind, word, accepted,
+    computed, resolved); an in-law tie counts where it resolves to one person. A null flag is false, a null tier none.
+    """
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    words = names.key_words(name)
+    word = lambda x: F.coalesce(x["word"], F.lit(""))
+    family = F.filter(
+        F.coalesce(ties, F.array().cast("array<struct<kind:string,word:string,accepted:boolean,computed:boolean,resolved:boolean>>")),
+        lambda x: yes(x["accepted"]) & (yes(x["kind"].isin("child", "parent", "spouse", "sibling")) | (yes(x["kind"] == "other") & word(x).rlike(FAMILY_WORD) & (~F.lower(word(x)).contains("in-law") | yes(x["resolved"])))),
+    )
+    trusted = yes(F.substring(tier, 1, 2).isin("T1", "T2")) | (yes(obituary) & yes(F.substring(tier, 1, 2) == "T3"))
+    named = yes((F.size(words) > 1) & F.exists(F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda w: F.length(w) > 1)) & yes(name != "(unnamed)")
+    why = (
+        F.when(yes(editable), "anyone edits the page")
+        .when(~trusted, "tier")
+        .when(~named, "no full name")
+        .when(~yes(looked) & ~yes(made), "the matcher has not looked")
+        .when(F.exists(family, lambda x: ~yes(x["computed"])), F.when(yes(made), "stands").otherwise("stated"))
+        .when(F.size(family) > 0, "computed by the indexer")
+        .when(F.exists(ties, lambda x: yes(x["accepted"])), "no family relationship")
+        .otherwise("related to nobody accepted")
+    )
+    return F.struct(why.isin("stands", "stated").alias("creates"), why.alias("why"))
+
+
+def cards(proposals: DataFrame, findings: DataFrame, rivals: DataFrame, key: str, k: int = 3) -> DataFrame:
+    """``proposals`` with what a decision needs: findings (array of axis, verdict) by axis, the first k rivals by points, and their number.
+
+    ``findings`` has (key, axis, verdict), ``rivals`` (key, rival, points). Both are aggregated by key first, rivals to k each before
+    the arrays are made, so that a proposal with many rivals is one small row. Without any the arrays are empty; equal points go by rival.
+    """
+    f = findings.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("axis", "verdict"))).alias("findings"))
+    n = rivals.groupBy(key).agg(F.count("*").alias("n_rivals"))
+    best = top_per_group(rivals, [key], [F.desc("points"), F.col("rival")], k)
+    r = best.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("points")).alias("minus"), F.col("rival").alias("rival")))).alias("r"))
+    ordered = F.transform("r", lambda x: F.struct(x["rival"].alias("rival"), (-x["minus"]).alias("points")))
+    out = proposals.join(f, key, "left").join(n, key, "left").join(r, key, "left")
+    none = lambda c, t: F.coalesce(c, F.array().cast(t))
+    points = rivals.schema["points"].dataType.simpleString()
+    kind = rivals.schema["rival"].dataType.simpleString()
+    return out.select(
+        *[F.col(c) for c in proposals.columns], none(F.col("findings"), "array<struct<axis:string,verdict:string>>").alias("findings"),
+        none(ordered, f"array<struct<rival:{kind},points:{points}>>").alias("rivals"), F.coalesce("n_rivals", F.lit(0)).alias("n_rivals"),
+    )

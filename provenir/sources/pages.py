@@ -3,65 +3,105 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_VOID = {"area", "base", "br", "col", "hr", "img", "input", "link", "meta", "source", "wbr"}
+#: The elements without an end tag.
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _HIDDEN = {"script", "style", "template", "noscript", "head"}
 
 
 class _Page(HTMLParser):
-    """Collects visible text, cells by row and link targets; ``display:none`` hides an element and all below it."""
+    """Collects visible text, cells by row and link targets; ``display:none`` hides an element and all below it.
+
+    Only counts of open elements are kept: ``inside`` of those from the hiding one on, ``around`` of those before it. Text shows
+    again when the hiding element ends, or one around it does.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool]] = []
+        self.hides: str | None = None
+        self.inside, self.around = Counter(), Counter()
+        self.in_title = False
         self.text: list[str] = []
         self.rows: list[list[str]] = []
+        self.heads: list[bool] = []
+        self.table_of: list[int] = []
+        self.n_tables = 0
         self.cell: list[str] | None = None
         self.links: list[str] = []
         self.title, self.lang = "", None
 
-    @property
-    def hidden(self) -> bool:
-        return bool(self.open) and self.open[-1][1]
-
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
         if tag == "html":
             self.lang = a.get("lang")
-        if tag == "a" and a.get("href"):
+        elif tag == "title":
+            self.in_title = True
+        elif tag == "a" and a.get("href"):
             self.links.append(a["href"])
-        if tag == "tr":
-            self.rows.append([])
-        if tag in ("td", "th"):
+        elif tag == "table":
+            self.n_tables += 1
+        elif tag == "tr":
+            self._row()
+        elif tag in ("td", "th"):
+            self._end_cell()  # a cell that was left open ends here
             self.cell = []
-        if tag not in _VOID:
-            off = tag in _HIDDEN or "display:none" in (a.get("style") or "").replace(" ", "").lower() or "hidden" in a
-            self.open.append((tag, self.hidden or off))
+            if self.rows:
+                self.heads[-1] &= tag == "th"
+        if tag in _VOID:
+            return
+        style = (a.get("style") or "").replace(" ", "").lower()
+        if self.hides is None and (tag in _HIDDEN or "hidden" in a or "display:none" in style):
+            self.hides, self.inside = tag, Counter()
+        (self.around if self.hides is None else self.inside)[tag] += 1
+
+    def _row(self):
+        self._end_cell()
+        self.rows.append([])
+        self.heads.append(True)
+        self.table_of.append(self.n_tables)
+
+    def _end_cell(self):
+        if self.cell is not None and self.rows:
+            self.rows[-1].append(" ".join("".join(self.cell).split()))
+        self.cell = None
 
     def handle_endtag(self, tag):
-        if tag in ("td", "th") and self.cell is not None:
-            if self.rows:
-                self.rows[-1].append(" ".join("".join(self.cell).split()))
-            self.cell = None
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                del self.open[k:]
-                break
+        if tag in ("td", "th", "tr", "table"):
+            self._end_cell()
+        self.in_title &= tag != "title"
+        if self.hides is None:
+            self.around[tag] -= self.around[tag] > 0
+        elif self.inside[tag]:
+            self.inside[tag] -= 1
+            if tag == self.hides and not self.inside[tag]:
+                self.hides = None
+        elif self.around[tag]:
+            self.around[tag] -= 1
+            self.hides = None
 
     def handle_data(self, data):
-        if self.open and self.open[-1][0] == "title":
+        if self.in_title:
             self.title += data
-        if not self.hidden:
+        if self.hides is None:
             self.text.append(data)
             if self.cell is not None:
                 self.cell.append(data)
 
 
+def _read(html: str | None) -> _Page:
+    p = _Page()
+    p.feed(html or "")
+    p.close()
+    p._end_cell()
+    return p
+
+
 SCHEMA = "page_id long, title string, lang string, text_length long, n_links long, host string, fields array<struct<label:string,value:string>>"
 
 
@@ -72,9 +112,7 @@ def extract(pages: DataFrame) -> DataFrame:
         for b in batches:
             out: dict[str, list] = {c: [] for c in ("page_id", "title", "lang", "text_length", "n_links", "host", "fields")}
             for i, html, host in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                p = _Page()
-                p.feed(html or "")
-                p.close()
+                p = _read(html)
                 out["page_id"].append(i)
                 out["title"].append(re.sub(r"\s+", " ", p.title).strip())
                 out["lang"].append(p.lang)
@@ -101,3 +139,34 @@ def map_labels(fields: DataFrame, rules: DataFrame) -> DataFrame:
     hit = fields.join(F.broadcast(rules), F.expr("lower(label) rlike pattern"))
     keys = [c for c in fields.columns]
     return hit.groupBy(*keys).agg(F.min_by(F.struct("fact", "part"), "priority").alias("r")).select(*keys, "r.fact", "r.part")
+
+
+LISTING = "page_id long, row int, cells map<string,string>"
+
+
+def listings(pages: DataFrame) -> DataFrame:
+    """(page_id, row, cells): the rows of tables that open with a row of headings alone, each as heading to value; row counts within the page.
+
+    A row with another number of cells than its headings is none of the listing. Of equal headings the last counts. Pages without
+    such a table give no rows; later rows of headings in one table replace the earlier ones.
+    """
+
+    def run(batches):
+        kinds = [pa.int64(), pa.int32(), pa.map_(pa.string(), pa.string())]
+        for b in batches:
+            ids, at, cells = [], [], []
+            for i, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                p, names, table, n = _read(html), None, None, 0
+                for row, head, k in zip(p.rows, p.heads, p.table_of, strict=True):
+                    if k != table:
+                        names, table = None, k
+                    if head and row:
+                        names = row
+                    elif names and len(row) == len(names):
+                        ids.append(i)
+                        at.append(n)
+                        cells.append(list(dict(zip(names, row, strict=True)).items()))
+                        n += 1
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip((ids, at, cells), kinds, strict=True)], ["page_id", "row", "cells"])
+
+    return pages.select("page_id", "html").mapInArrow(run, LISTING)
