@@ -21,7 +21,7 @@ def first_fit(items: Column, agree: Callable[[Column, Column], Column]) -> Colum
         joined = F.transform(groups, lambda g, k: F.when(k + 1 == fits, F.array_append(g, x)).otherwise(g))
         return F.when(fits > 0, joined).otherwise(F.array_append(groups, F.array(x)))
 
-    return F.aggregate(items, F.filter(F.array(items), lambda g: F.lit(False)), place)
+    return F.aggregate(items, F.slice(F.array(items), 1, 0), place)
 
 
 def _same_event(a: Column, b: Column) -> Column:
@@ -65,19 +65,25 @@ def fold_events(events: DataFrame, owner: list[str]) -> DataFrame:
     place = F.min(F.when(F.col("place").isNotNull(), F.struct("order", "place")))["place"]
     kept = m.groupBy(*g).agg(F.min(F.struct("order", "id", "date", "place", "decided")).alias("k"), F.count("*").alias("n"), (spoken > 1).alias("refused"), place.alias("given")).where("n > 1")
     # A date matters where it is first given; held dates count from the event that holds them on, that event's own step included.
-    null_date = F.lit(None).cast("struct<start:string,end:string,qualifier:string>")
-    given = m.groupBy(*g, F.col("date").alias("d")).agg(F.min("order").alias("order")).select(*g, F.struct("order", F.lit(1).alias("step"), F.col("d").alias("date"), null_date.alias("held")).alias("x"))
-    held = m.select(*g, "order", F.explode("held").alias("h")).groupBy(*g, "h").agg(F.min("order").alias("order")).select(*g, F.struct("order", F.lit(0).alias("step"), null_date.alias("date"), F.col("h").alias("held")).alias("x"))
+    # Spans are made once for each date, so that a step compares columns and stays a small expression.
+    full = "struct<start:string,end:string,qualifier:string,lo:date,hi:date>"
+    null_date, no_dates = F.lit(None).cast(full), F.array().cast(f"array<{full}>")
+    spanned = lambda c: F.when(F.col(c).isNotNull(), F.struct(f"{c}.*", dates.date_span(F.col(c))["lo"].alias("lo"), dates.date_span(F.col(c))["hi"].alias("hi")))
+    given = m.groupBy(*g, F.col("date").alias("d")).agg(F.min("order").alias("order")).select(*g, F.struct("order", F.lit(1).alias("step"), spanned("d").alias("date"), null_date.alias("held")).alias("x"))
+    held = m.select(*g, "order", F.explode("held").alias("h")).groupBy(*g, "h").agg(F.min("order").alias("order")).select(*g, F.struct("order", F.lit(0).alias("step"), null_date.alias("date"), spanned("h").alias("held")).alias("x"))
     steps = given.union(held).groupBy(*g).agg(F.array_sort(F.collect_list("x")).alias("steps"))
     state = lambda own, seen: F.struct(own.alias("date"), seen.alias("held"))
+    verdict = lambda a, b: dates.verdict_of_spans(a, b, a, b)
 
     def step(s: Column, x: Column) -> Column:
-        free = ~F.exists(s["held"], lambda h: dates.date_verdict(h, x["date"]) == "disagrees")
-        takes = free & dates.fuller_date(s["date"], x["date"])
-        return F.when(x["step"] == 0, state(s["date"], F.array_append(s["held"], x["held"]))).otherwise(state(F.when(takes, x["date"]).otherwise(s["date"]), s["held"]))
+        free = ~F.exists(s["held"], lambda h: verdict(h, x["date"]) == "disagrees")
+        takes = (x["step"] == 1) & free & dates.fuller_by(verdict(x["date"], s["date"]), s["date"], x["date"])
+        return state(F.when(takes, x["date"]).otherwise(s["date"]), F.when(x["step"] == 0, F.array_append(s["held"], x["held"])).otherwise(s["held"]))
 
-    last = F.aggregate("steps", state(F.col("k.date"), F.filter(F.array(null_date), lambda h: F.lit(False))), step)["date"]
+    last = F.aggregate("steps", state(F.col("own"), no_dates), step)["date"]
+    last = F.when(last.isNotNull(), F.struct(last["start"].alias("start"), last["end"].alias("end"), last["qualifier"].alias("qualifier")))
     free = lambda axis: ~F.col("refused") & ~F.array_contains("k.decided", axis)
     date = F.when(free("date"), last).otherwise(F.col("k.date"))
     given_place = F.when(free("place"), F.coalesce("k.place", "given")).otherwise(F.col("k.place"))
+    kept = kept.withColumn("d", F.col("k.date")).withColumn("own", spanned("d"))
     return kept.join(steps, g).select(*keys, F.col("k.id").alias("kept"), "n", "refused", date.alias("date"), given_place.alias("place"))
