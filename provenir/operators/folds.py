@@ -28,6 +28,33 @@ def _same_event(a: Column, b: Column) -> Column:
     return places.keys_one(a["place"], b["place"]) & a["value"].eqNullSafe(b["value"]) & (a["once"] | dates.dates_one(a["date"], b["date"]))
 
 
+def _grouped(events: DataFrame, owner: list[str]) -> DataFrame:
+    """The events that can be one with another, with their ``side`` among those of their owner and type (see ``fold_events``)."""
+    none = F.array().cast("array<string>")
+    axes = lambda c: F.coalesce(F.col(c), none)
+    d = F.col("date").cast("struct<start:string,end:string,qualifier:string>")
+    order = F.struct((F.size(axes("owner_axes")) == 0).alias("o"), (F.size(axes("rule_axes")) == 0).alias("r"), (-F.coalesce("accepted", F.lit(0))).cast("long").alias("a"), (-F.coalesce("statements", F.lit(0))).cast("long").alias("s"), F.col("id").alias("id"))
+    keys = [*owner, "type"]
+    e = events.select(*keys, "id", order.alias("order"), F.coalesce("once", F.lit(False)).alias("once"), d.alias("date"), places.place_keys(F.col("place")).alias("keys"), F.when(F.trim("place") != "", F.col("place")).alias("place"), F.coalesce("value", F.lit("")).alias("value"), axes("owner_axes").alias("owner_axes"), F.array_union(axes("owner_axes"), axes("rule_axes")).alias("decided"), F.coalesce(F.col("held").cast("array<struct<start:string,end:string,qualifier:string>>"), F.array().cast("array<struct<start:string,end:string,qualifier:string>>")).alias("held"))
+    e = e.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)).where(F.col("once") | dates.dates_one(F.col("date"), F.col("date")))
+    # A place that names a country alone agrees with no other naming, not even its like: each such event stands for itself.
+    alone = F.when(F.size("keys") == 0, F.col("id"))
+    e = e.withColumn("item", F.struct(F.col("keys").alias("place"), "value", "once", "date")).withColumn("v", F.to_json(F.struct("item", alone.alias("alone"))))
+    values = e.groupBy(*keys, "v").agg(F.min("order").alias("order"), F.first("item").alias("item"))
+    listed = values.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("order", "v", "item"))).alias("items"))
+    grouped = listed.select(*keys, F.posexplode(first_fit(F.col("items"), lambda a, b: _same_event(a["item"], b["item"]))).alias("side", "g"))
+    side = grouped.select(*keys, "side", F.explode("g.v").alias("v"))
+    return e.join(side, [*keys, "v"])
+
+
+def fold_sides(events: DataFrame, owner: list[str]) -> DataFrame:
+    """(id, kept, refused) of each event that is one with another of its owner and type, by the rule of ``fold_events``; the kept one names itself."""
+    g = [*owner, "type", "side"]
+    m = _grouped(events, owner)
+    kept = m.groupBy(*g).agg(F.min(F.struct("order", "id"))["id"].alias("kept"), F.count("*").alias("n"), (F.count_if(F.size("owner_axes") > 0) > 1).alias("refused"))
+    return m.select(*g, "id").join(kept.where("n > 1"), g).select("id", "kept", "refused")
+
+
 def fold_events(events: DataFrame, owner: list[str]) -> DataFrame:
     """(owner..., type, kept, n, refused, date, place): the groups of two or more events of one owner and type that are one event.
 
@@ -45,21 +72,8 @@ def fold_events(events: DataFrame, owner: list[str]) -> DataFrame:
     agree with nothing (no whole date of a type that may repeat) never; what one task holds follows the different values of one
     owner, not its rows.
     """
-    none = F.array().cast("array<string>")
-    axes = lambda c: F.coalesce(F.col(c), none)
-    d = F.col("date").cast("struct<start:string,end:string,qualifier:string>")
-    order = F.struct((F.size(axes("owner_axes")) == 0).alias("o"), (F.size(axes("rule_axes")) == 0).alias("r"), (-F.coalesce("accepted", F.lit(0))).cast("long").alias("a"), (-F.coalesce("statements", F.lit(0))).cast("long").alias("s"), F.col("id").alias("id"))
     keys = [*owner, "type"]
-    e = events.select(*keys, "id", order.alias("order"), F.coalesce("once", F.lit(False)).alias("once"), d.alias("date"), places.place_keys(F.col("place")).alias("keys"), F.when(F.trim("place") != "", F.col("place")).alias("place"), F.coalesce("value", F.lit("")).alias("value"), axes("owner_axes").alias("owner_axes"), F.array_union(axes("owner_axes"), axes("rule_axes")).alias("decided"), F.coalesce(F.col("held").cast("array<struct<start:string,end:string,qualifier:string>>"), F.array().cast("array<struct<start:string,end:string,qualifier:string>>")).alias("held"))
-    e = e.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)).where(F.col("once") | dates.dates_one(F.col("date"), F.col("date")))
-    # A place that names a country alone agrees with no other naming, not even its like: each such event stands for itself.
-    alone = F.when(F.size("keys") == 0, F.col("id"))
-    e = e.withColumn("item", F.struct(F.col("keys").alias("place"), "value", "once", "date")).withColumn("v", F.to_json(F.struct("item", alone.alias("alone"))))
-    values = e.groupBy(*keys, "v").agg(F.min("order").alias("order"), F.first("item").alias("item"))
-    listed = values.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("order", "v", "item"))).alias("items"))
-    grouped = listed.select(*keys, F.posexplode(first_fit(F.col("items"), lambda a, b: _same_event(a["item"], b["item"]))).alias("side", "g"))
-    side = grouped.select(*keys, "side", F.explode("g.v").alias("v"))
-    m = e.join(side, [*keys, "v"])
+    m = _grouped(events, owner)
     g = [*keys, "side"]
     spoken = F.count_if(F.size("owner_axes") > 0)
     place = F.min(F.when(F.col("place").isNotNull(), F.struct("order", "place")))["place"]

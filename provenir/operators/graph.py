@@ -147,13 +147,13 @@ def path_standing(paths: DataFrame, links: DataFrame) -> DataFrame:
     return stood.withColumn("n_links", n).withColumn("place", F.row_number().over(order)).select("start", "goal", "path", "n_links", "weakest", "owed", "place")
 
 
-def chain_ends(rows: DataFrame, key: str, after: str, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
+def chain_ends(rows: DataFrame, key: str, after: str, scratch: Scratch) -> DataFrame:
     """(key, latest, steps): the end of the chain that starts at each row; ``after`` names the row that takes its place, or null.
 
     Pointers double each round, so a chain of n takes about log n rounds. A name that is no row ends the chain there; a circle raises.
     """
     at = scratch.table(rows.select(F.col(key), F.coalesce(after, key).alias("latest"), F.col(after).isNotNull().cast("int").alias("steps")))
-    for _ in range(max_rounds):
+    for _ in range(at.count().bit_length() + 2):  # more than any chain of so many rows takes
         step = at.select(F.col(key).alias("latest"), F.col("latest").alias("l2"), F.col("steps").alias("s2"))
         new = at.join(step, "latest", "left").select(key, F.coalesce("l2", "latest").alias("latest"), (F.col("steps") + F.coalesce("s2", F.lit(0))).alias("steps"), (F.coalesce("s2", F.lit(0)) > 0).alias("moved"))
         new = scratch.table(new)

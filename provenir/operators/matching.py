@@ -22,18 +22,93 @@ def surname_blocks(left: Column, right: Column) -> list[tuple[Column, Column]]:
     return [(F.soundex(a), F.soundex(b)), *[(shape(a, 0), shape(b, d)) for d in (0, 1, -1)]]
 
 
-def candidates(entries: DataFrame, persons: DataFrame, window: int = WINDOW) -> DataFrame:
+def surname_keys(surname: Column) -> Column:
+    """Keys of which two surnames that agree or vary (``names.same_surname``) share one: the sound, the first three letters, or the first
+    and the last two. One edit beyond the third letter leaves the first three, any other the last two."""
+    s = names.name_key(surname)
+    ends = F.concat(F.lit("e"), F.substring(s, 1, 1), F.right(s, F.lit(2)))
+    return F.when(s != "", F.array(F.concat(F.lit("s"), F.soundex(s)), F.concat(F.lit("p"), F.substring(s, 1, 3)), ends))
+
+
+def given_name_keys(given: Column, nicknames: tuple = names.NICKNAMES) -> Column:
+    """Keys of which two given names that agree (``names.same_given``) share one: the first letter, the group of short forms, or the last
+    four letters, which an edit of the first letter leaves."""
+    g = names.name_key(given)
+    groups = F.create_map(*[F.lit(x) for k, n in enumerate(nicknames) for w in n for x in (w, f"n{k}")])
+    keys = F.array(F.concat(F.lit("i"), F.substring(g, 1, 1)), groups[g], F.when(F.length(g) >= 5, F.concat(F.lit("t"), F.right(g, F.lit(4)))))
+    return F.when(g != "", F.filter(keys, lambda k: k.isNotNull()))
+
+
+#: A block with more persons than this is dealt in parts to several tasks; no pair is lost by it.
+BLOCK = 50_000
+
+
+def _split(left: DataFrame, right: DataFrame, by: list[str], limit: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``part__``: rows of a block with more than ``limit`` rows on the right are dealt to parts, and its left rows go to each part."""
+    n = F.ceil(F.count("*") / limit).cast("int")
+    wide = right.groupBy(*by).agg(n.alias("parts__")).where("parts__ > 1")  # only blocks above the limit
+    a = left.join(wide, by, "left").withColumn("part__", F.explode(F.sequence(F.lit(0), F.coalesce("parts__", F.lit(1)) - 1))).drop("parts__")
+    part = F.pmod(F.xxhash64("r_id"), F.coalesce("parts__", F.lit(1))).cast("int")
+    return a, right.join(wide, by, "left").withColumn("part__", part).drop("parts__")
+
+
+def ranged_pairs(left: DataFrame, right: DataFrame, left_keys: Column, right_keys: Column, year: str, window: int, fits: Column, limit: int = BLOCK) -> DataFrame:
+    """Pairs (l_, r_) that share a key, lie at most ``window`` years apart where both have a year, and fit; a pair comes once.
+
+    The year is part of the join key: a left row stands in the stretch of years that holds its own, a right row also in a neighbouring one that
+    is within the window. Rows without a year meet all rows of their keys in stretches of their own. So the work is that of pairs of one
+    key and about one time. Both sides have ``id``.
+    """
+    width = 2 * window + 2
+    stretch = lambda c, d=0: F.floor((F.col(c) + d) / width)
+    known, open_left, open_right = F.lit(0), F.lit(1), F.lit(2)  # kinds of stretches: both years known, none on the left, none on the right alone
+    at = lambda kind, x: F.struct(kind.alias("kind"), x.cast("long").alias("n"))
+    zero = F.lit(0)
+    y = f"l_{year}"
+    a = left.select(*[F.col(c).alias(f"l_{c}") for c in left.columns], left_keys.alias("l_keys__"))
+    a = a.withColumn("at__", F.explode(F.when(F.col(y).isNull(), F.array(at(open_left, zero))).otherwise(F.array(at(known, stretch(y)), at(open_right, zero)))))
+    z = f"r_{year}"
+    b = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns], right_keys.alias("r_keys__"))
+    near = F.array_distinct(F.array(*[at(known, stretch(z, d)) for d in (-window, 0, window)]))
+    b = b.withColumn("at__", F.explode(F.concat(F.when(F.col(z).isNull(), F.array(at(open_right, zero))).otherwise(near), F.array(at(open_left, zero)))))
+    a, b = a.withColumn("key__", F.explode("l_keys__")), b.withColumn("key__", F.explode("r_keys__"))
+    a, b = _split(a, b, ["key__", "at__"], limit)
+    first = F.element_at(F.array_intersect("l_keys__", "r_keys__"), 1) == F.col("key__")
+    born = F.coalesce(F.abs(F.col(y) - F.col(z)) <= window, F.lit(True))
+    return a.join(b, ["key__", "at__", "part__"]).where(born & first & fits).drop("key__", "at__", "part__", "l_keys__", "r_keys__")
+
+
+def candidates(entries: DataFrame, persons: DataFrame, window: int = WINDOW, limit: int = BLOCK) -> DataFrame:
     """Pairs whose surnames agree or nearly do, whose given names agree or whose person has no family link yet (``linked``), born within the window.
 
-    Blocks are equi-joins, so no pair is made outside them; a pair that shares several keys comes once.
+    A person in a family is looked for under surname and given name, another under the surname alone, both by years, so no
+    pair is made that has neither; a pair that shares several keys comes once. A null ``linked`` is none; names without letters have no candidates.
     """
-    born = F.abs(F.col("l_birth") - F.col("r_birth"))
-    fits = (
-        (names.same_surname(F.col("l_surname"), F.col("r_surname")) != "")
-        & (names.same_given(F.col("l_given"), F.col("r_given")) | ~F.col("r_linked"))
-        & F.coalesce(born <= window, F.lit(True))
-    )
-    return blocked_pairs(entries, persons, surname_blocks(F.col("surname"), F.col("surname")), fits)
+    fits = (names.same_surname(F.col("l_surname"), F.col("r_surname")) != "") & (names.same_given(F.col("l_given"), F.col("r_given")) | ~F.coalesce("r_linked", F.lit(False)))
+    none = F.array().cast("array<string>")
+    tagged = lambda tag, keys: F.transform(F.coalesce(keys, none), lambda k: F.concat(F.lit(tag), k))
+    both = F.flatten(F.transform(F.coalesce(surname_keys(F.col("surname")), none), lambda s: F.transform(F.coalesce(given_name_keys(F.col("given")), none), lambda g: F.concat(F.lit("f:"), s, F.lit("/"), g))))
+    alone = tagged("u:", surname_keys(F.col("surname")))
+    mine = F.array_distinct(F.when(F.coalesce("linked", F.lit(False)), both).otherwise(alone))
+    return ranged_pairs(entries, persons, F.array_distinct(F.concat(alone, both)), mine, "birth", window, fits, limit)
+
+
+def candidate_branches(entries: DataFrame, persons: DataFrame, accepted: DataFrame, kin: DataFrame, identifiers: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(entry, person, sources): every person that an entry is compared with, and by which of four ways, sorted.
+
+    record: persons accepted on the entry's record (``accepted`` record, person); relative: those that ``kin`` (a, b) ties to one of them;
+    identifier: persons who hold an identifier of the entry (``identifiers`` person, identifier; the entry's own column ``identifier``);
+    names: ``candidates``. Only rows of ``persons`` (never one merged into another) count. Null ids and identifiers tie nothing.
+    """
+    own = entries.select(F.col("id").alias("entry"), "record").join(accepted.select("record", "person").distinct(), "record").select("entry", "person")
+    near = own.join(kin.where("a <> b").select(F.col("a").alias("person"), "b").distinct(), "person").select("entry", F.col("b").alias("person"))
+    shared = entries.select(F.col("id").alias("entry"), "identifier").join(identifiers.select("identifier", "person").distinct(), "identifier").select("entry", "person")
+    named = candidates(entries.select("id", "given", "surname", "birth"), persons.select("id", "given", "surname", "birth", "linked"), window)
+    ways = [("record", own), ("relative", near), ("identifier", shared)]
+    out = named.select(F.col("l_id").alias("entry"), F.col("r_id").alias("person"), F.lit("names").alias("source"))
+    for tag, df in ways:
+        out = out.union(df.join(persons.select(F.col("id").alias("person")), "person", "left_semi").select("entry", "person", F.lit(tag).alias("source")))
+    return out.groupBy("entry", "person").agg(F.array_sort(F.collect_set("source")).alias("sources"))
 
 
 def findings(pairs: DataFrame) -> DataFrame:
