@@ -251,5 +251,6 @@ def verified_manifest(docs: DataFrame, scratch: Scratch) -> DataFrame:
     One tree a lang, null one of its own; leaves ascend by doc_id, null first, then by digest; proofs are tried on rows of which some are
     tampered with. An empty table gives no rows; other columns are ignored.
     """
-    m = manifest(tampered(docs), scratch, F.col("lang"), [F.col("doc_id").asc_nulls_first()])
+    rows = scratch.table(tampered(docs))  # ranges are drawn from digests: the texts are read once
+    m = manifest(rows, scratch, F.col("lang"), [F.col("doc_id").asc_nulls_first()])
     return m.proofs("claimed")
