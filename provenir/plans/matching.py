@@ -247,14 +247,14 @@ def q_in_laws(spark, d):
 
 
 @query(f"""WITH RECURSIVE {_KIN}, e AS (SELECT a, b, CASE kind WHEN 'parent' THEN 1 WHEN 'child' THEN -1 ELSE 0 END AS step FROM k WHERE kind <> 'sibling'),
-w AS (SELECT 2::BIGINT AS id, 0 AS g UNION SELECT e.b, w.g + step FROM w JOIN e ON e.a = w.id WHERE abs(w.g + step) <= 4),
+w AS (SELECT 2::BIGINT AS id, 0 AS g UNION SELECT e.b, w.g + step FROM w JOIN e ON e.a = w.id WHERE abs(w.g + step) <= 12),
 n AS (SELECT id, min(abs(g)) AS least FROM w GROUP BY id) SELECT c_custkey AS id, least::INT AS distance, CASE WHEN least IS NULL THEN 'deceased' WHEN least <= 1 THEN 'living' WHEN least = 2 THEN 'unknown' ELSE 'deceased' END AS status
 FROM customer LEFT JOIN n ON id = c_custkey""")
 def q_living(spark, d):
     """Generations from a home person, and the status that follows where nothing is decided."""
     kin = matching.parents_and_kin(_members(spark, d)).where("kind <> 'sibling'")
     step = F.when(F.col("kind") == "parent", 1).when(F.col("kind") == "child", -1).otherwise(0)
-    near = graph.generations(kin.select("a", "b", step.alias("step")), spark.createDataFrame([(2,)], "id long"), Scratch(spark), 4)
+    near = graph.generations(kin.select("a", "b", step.alias("step")), spark.createDataFrame([(2,)], "id long"), Scratch(spark))
     out = t(spark, d, "customer").select(F.col("c_custkey").alias("id")).join(near, "id", "left").withColumn("distance", F.abs("generation").cast("int"))
     status = F.when(F.col("distance").isNull(), "deceased").when(F.col("distance") <= 1, "living").when(F.col("distance") == 2, "unknown").otherwise("deceased")
     return out.select("id", "distance", status.alias("status"))

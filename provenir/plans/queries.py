@@ -277,14 +277,15 @@ def q_diff_plan(spark, d):
     return evidence.diff_plan(w, e, "k")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT 'c' || c_nationkey AS a, 'm' || c_mktsegment || (c_custkey % 97) AS b FROM customer), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-w AS (SELECT 'c0' AS id, 0 AS depth UNION SELECT u.b, w.depth + 1 FROM w JOIN u ON u.a = w.id WHERE w.depth < 3) SELECT id, min(depth)::INT AS depth FROM w GROUP BY id""")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT 'c' || c_nationkey AS a, 'm' || c_mktsegment || (c_custkey % 97) AS b FROM customer), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), n AS (SELECT count(DISTINCT a) AS n FROM u),
+w AS (SELECT id, pos, 0 AS depth FROM (VALUES ('c0', 1), ('c7', 0)) s(id, pos) UNION SELECT u.b, pos, depth + 1 FROM w JOIN u ON u.a = w.id, n WHERE depth < n)
+SELECT id, min(depth)::INT AS depth, min_by(pos, depth * 10 + pos)::INT AS origin FROM w GROUP BY id""")
 def q_graph_bfs(spark, d):
-    """Distances up to 3 from a seed in a bipartite graph."""
+    """Distances from two seeds in a bipartite graph, until nothing new is reached, and the seed that each node is nearest to."""
     c = t(spark, d, "customer")
     edges = c.select(F.concat(F.lit("c"), F.col("c_nationkey")).alias("a"), F.concat(F.lit("m"), F.col("c_mktsegment"), (F.col("c_custkey") % 97).cast("string")).alias("b"))
-    seeds = spark.createDataFrame([("c0", 0)], "id string, pos int")
-    return graph.distances(edges, seeds, Scratch(spark), 3).select("id", "depth")
+    seeds = spark.createDataFrame([("c0", 1), ("c7", 0)], "id string, pos int")
+    return graph.distances(edges, seeds, Scratch(spark)).select("id", "depth", "origin")
 
 
 @query()

@@ -134,13 +134,6 @@ def page_kind(html, markers: list[tuple[str, str]]):
     return out
 
 
-def map_labels(fields: DataFrame, rules: DataFrame) -> DataFrame:
-    """Labelled values to facts: ``rules`` (priority, pattern, fact, part) is a small dimension; the first pattern that fits counts."""
-    hit = fields.join(F.broadcast(rules), F.expr("lower(label) rlike pattern"))
-    keys = [c for c in fields.columns]
-    return hit.groupBy(*keys).agg(F.min_by(F.struct("fact", "part"), "priority").alias("r")).select(*keys, "r.fact", "r.part")
-
-
 LISTING = "page_id long, row int, cells map<string,string>"
 
 

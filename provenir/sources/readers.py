@@ -113,7 +113,8 @@ def memorial(html: str | None) -> Iterator[tuple]:
     root = parse(html)
     ids = {}
     for e in root.elements():
-        ids.setdefault(e.attrs.get("id"), e)
+        if e.attrs.get("id"):
+            ids.setdefault(e.attrs["id"], e)
     badge = lambda e: e.has_class("badge")
     at = lambda i: ids[i].text(badge) if i in ids else ""
     held = [(label, at(i)) for i, label in MEMORIAL.items()]
