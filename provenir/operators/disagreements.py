@@ -76,7 +76,9 @@ def disagreements(values: DataFrame, events: DataFrame, verdict: Callable[[Colum
 
     The work in a task is that of the distinct values of one event.
     """
-    v = values.where("value IS NOT NULL")
+    # One exchange for both aggregations and the join; a number of its own, as the work lies in comparing, not in bytes that would be brought together.
+    n_parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    v = values.where("value IS NOT NULL").repartition(n_parts, "event")
     v = v.groupBy("event", "value").agg(F.min(F.when(F.col("accepted"), F.col("first"))).alias("sure"), F.min("first").alias("first"), F.array_sort(F.collect_list(F.struct("first", "record"))).alias("by"))
     g = v.groupBy("event").agg(F.array_sort(F.collect_list(F.struct("first", "value", "sure", "by"))).alias("vs"))
     g = g.join(events.select("event", F.col("value").alias("tree")), "event")
