@@ -2,10 +2,11 @@
 
 Only longer documents are cut. Piece lengths are at most SIZE numbers, so their counts are a table of at most SIZE rows however large
 the corpus; the plan is made from these counts alone. Lengths over a quarter of a sequence are large: sorted, they are put in
-GROUPS groups of equal cardinality and rounded up to the group's longest (a length that fills a group by itself, and the longest that fit
-twice or three times, start groups of their own). Configurations hold at most three rounded sizes, so all of them are listed, and a
-linear programme (revised simplex, one row a group) finds how often to use which; its solution is rounded down. Then actual lengths take the
-places of rounded ones, and what is left of the large pieces, and the small ones, go longest first to the tightest room. The
+groups of equal cardinality and rounded up to the group's longest (a length that fills a group by itself, and the longest that fit
+twice or three times, start groups of their own). Configurations hold at most three rounded sizes; a linear programme (revised simplex,
+one row a group) finds how often to use which, and its solution is rounded down. Actual lengths take the places of the
+rounded ones in whole configurations, some at a time, and the remainder is grouped and solved again. The few large pieces left, and the
+small ones, go longest first to the tightest room. The
 plan is a list of runs: so many sequences of the same lengths. Pieces of one length are numbered in a distributed way
 (partition counts, then offsets) and each finds its run by its number.
 """
@@ -13,8 +14,9 @@ plan is a list of runs: so many sequences of the same lengths. Pieces of one len
 from __future__ import annotations
 
 import bisect
+import itertools
 import zlib
-from collections import Counter, defaultdict, deque
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import Encoder
 
-SIZE, END_ID, GROUPS = 2048, 0, 96
+SIZE, END_ID, GROUPS, ROUNDS = 2048, 0, (48, 96, 256), 24
 
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
@@ -53,59 +55,60 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "part int, rank long, doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def grouped(counts: dict[int, int], size: int, groups: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Large lengths in groups of equal cardinality, longest first: (rounded size, [(actual length, count)...])."""
+def grouped(counts: dict[int, int], size: int, groups: int) -> list[tuple[int, int]]:
+    """Large lengths in groups of equal cardinality, longest first: (rounded size, number of pieces)."""
     large = sorted((n for n in counts if n > size // 4 and counts[n]), reverse=True)
     each = -(-sum(counts[n] for n in large) // groups) if large else 1
-    out: list[tuple[int, list]] = []
-    room = 0
+    out: list[list[int]] = []
+    room, last = 0, size
     for n in large:
-        if counts[n] >= each or any(n <= size // k < out[-1][1][-1][0] for k in (2, 3) if out):
+        if counts[n] >= each or any(n <= size // k < last for k in (2, 3)):
             room = 0
-        left = counts[n]
+        left, last = counts[n], n
         while left:
             if room <= 0:
-                out.append((n, []))
+                out.append([n, 0])
                 room = max(each, counts[n])
             take = min(left, room)
-            out[-1][1].append((n, take))
+            out[-1][1] += take
             left, room = left - take, room - take
-    return out
-
-
-def configurations(sizes: list[int], size: int) -> np.ndarray:
-    """All choices of one to three of the sizes that fit, as rows of indices; ``len(sizes)`` stands for none."""
-    m, s = len(sizes), np.array([*sizes, 0])
-    i, j, k = (x.ravel() for x in np.indices((m, m + 1, m + 1), np.int16))
-    ok = (i <= j) & (j <= k) & (s[i] + s[j] + s[k] <= size)
-    return np.stack([i[ok], j[ok], k[ok]], 1)
+    return [(n, c) for n, c in out]
 
 
 def solve(sizes: list[int], need: np.ndarray, size: int, rounds: int = 5000) -> list[tuple[list[int], int]]:
-    """How often to use which configuration: the linear programme of least sequences, rounded down.
+    """How often to use which configuration of one to three of the sizes (longest first): the linear programme of least sequences, rounded down.
 
-    Revised simplex: prices of the groups from the basis, the configuration worth most by them comes in. Any basis on the way covers
-    the need, so stopping after ``rounds`` costs sequences, never pieces.
+    Revised simplex: prices of the groups from the basis, the configuration worth most by them comes in. It is found from pairs: the
+    best third is the greatest price among the sizes that fit the pair's room. Any basis on the way covers the need, so
+    stopping after ``rounds`` costs sequences, never pieces.
     """
-    m, config = len(sizes), configurations(sizes, size)
-    times = np.array([size // s for s in sizes])
-    columns = np.diag(times).astype(float)
+    m, s = len(sizes), np.array(sizes)
+    times = size // s
     basis = [[k] * int(t) for k, t in enumerate(times)]
-    x = need / times
-    for _ in range(rounds):
-        price = np.append(np.linalg.solve(columns.T, np.ones(m)), 0)
-        worth = price[config].sum(1)
-        best = int(worth.argmax())
-        if worth[best] <= 1 + 1e-9:
+    inverse, x = np.diag(1 / times), need / times
+    room = size - s[:, None] - s[None, :]
+    thirds = np.searchsorted(s[::-1], room.ravel(), side="right").reshape(m, m)
+    for k in range(rounds):
+        if k % 200 == 199:  # rounding errors of the updates go
+            inverse = np.linalg.inv(np.stack([np.bincount(c, minlength=m) for c in basis], 1).astype(float))
+            x = np.maximum(inverse @ need, 0)
+        price = inverse.sum(0)
+        rising = price[::-1]
+        best = np.maximum.accumulate(np.append(0, rising))
+        worth = np.where(room >= 0, price[:, None] + price[None, :] + best[thirds], -1)
+        i, j = divmod(int(worth.argmax()), m)
+        if worth[i, j] <= 1 + 1e-9:
             break
-        entering = [int(k) for k in config[best] if k < m]
-        column = np.bincount(entering, minlength=m).astype(float)
-        step = np.linalg.solve(columns, column)
+        fit = int(thirds[i, j])
+        entering = sorted([i, j] + ([m - 1 - int(rising[:fit].argmax())] if best[fit] > 0 else []))
+        step = inverse @ np.bincount(entering, minlength=m)
         ratio = np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)
         out = int(ratio.argmin())
         x = np.maximum(x - ratio[out] * step, 0)
         x[out] = ratio[out]
-        columns[:, out], basis[out] = column, entering
+        row = inverse[out] / step[out]
+        inverse -= np.outer(step, row)
+        inverse[out], basis[out] = row, entering
     left = need.copy()
     used = []
     for c, v in sorted(zip(basis, x, strict=True), key=lambda y: -y[1]):
@@ -116,45 +119,66 @@ def solve(sizes: list[int], need: np.ndarray, size: int, rounds: int = 5000) ->
     return used
 
 
-def plan(counts: dict[int, int], size: int = SIZE, groups: int = GROUPS) -> list[tuple[tuple[int, ...], int]]:
+def plan(counts: dict[int, int], size: int = SIZE, *groups: int) -> list[tuple[tuple[int, ...], int]]:
     """Runs (lengths in one sequence, number of such sequences) that hold every piece once.
 
-    Where small pieces fill every room anyhow, rounding can cost more than configurations save: all, half or none of the programme's
-    sequences of three are used, whichever needs the fewest sequences (the greatest share on a tie).
+    Of the roundings to so many ``groups`` (GROUPS by default) the one that needs the fewest sequences is taken, the first on a tie.
     """
-    group = grouped(counts, size, groups)
-    used = solve([g for g, _ in group], np.array([sum(c for _, c in m) for _, m in group]), size) if group else []
-    plans = (_filled(counts, group, [(c, n // part) for c, n in used], size) for part in (1, 2, 1 << 62))
+    least = -(-sum(n * c for n, c in counts.items()) // size)
+    plans = []
+    for g in groups or GROUPS:
+        runs, left = configured(counts, size, g)
+        plans.append(_best_fit(runs, left + Counter({n: c for n, c in counts.items() if 0 < n <= size // 4}), size))
+        if sum(n for _, n in plans[-1]) <= least:
+            break
     return min(plans, key=lambda runs: sum(n for _, n in runs))
 
 
-def _filled(counts: dict[int, int], group: list, used: list[tuple[list[int], int]], size: int) -> list[tuple[tuple[int, ...], int]]:
-    """The two longest of each configuration of three in place of their rounded sizes, then best-fit for the rest.
+def configured(counts: dict[int, int], size: int, groups: int) -> tuple[Counter, Counter]:
+    """Sequences of whole configurations, with actual lengths, and the few large pieces that no configuration took.
 
-    Configurations of one or two sizes come about by best-fit of the actual lengths, without rounding.
+    A quarter of the programme's solution is used at a time, then what is left is grouped and solved again: actual lengths fill the
+    room that rounding left, so the rest is shorter than it was planned. After ROUNDS rounds all of each solution is used.
     """
-    held = [deque([n, c] for n, c in members) for _, members in group]
+    left = Counter({n: c for n, c in counts.items() if n > size // 4 and c})
     runs: Counter = Counter()
-    for config, times in used:
-        if len(config) < 3:
-            continue
-        need = Counter(config[:2])
-        while times:
-            step = min([times, *(held[g][0][1] // k for g, k in need.items())])
-            if step:
-                runs[tuple(held[g][0][0] for g in config[:2])] += step
-                for g, k in need.items():
-                    _take(held[g], k * step)
-            else:
-                step = 1
-                runs[tuple(_take(held[g], 1) for g in config[:2])] += 1
-            times -= step
-
-    # What is left, longest first, to the tightest room.
-    rest = Counter({n: c for n, c in counts.items() if 0 < n <= size // 4})
-    for h in held:
-        for n, c in h:
-            rest[n] += c
+    for k in itertools.count():
+        group = grouped(left, size, groups)
+        sizes = [n for n, _ in group]
+        part = 1 if k >= ROUNDS or len(set(sizes)) == len(left) else 4
+        used = [([sizes[g] for g in c], -(-n // part)) for c, n in solve(sizes, np.array([c for _, c in group]), size)] if group else []
+        if not used:
+            return runs, left
+        for config, times in sorted(used, key=lambda u: sum(u[0]), reverse=True):
+            _substitute(config, times, left, runs, size)
+
+
+def _substitute(config: list[int], times: int, left: Counter, runs: Counter, size: int) -> None:
+    """Actual lengths in place of a configuration's sizes: each the longest that leaves room for the sizes after it.
+
+    That is at least the size or, where longer ones are gone, the longest below it; as a longer length taken early leaves shorter ones
+    to the configurations after it, every place of every configuration finds its piece.
+    """
+    lengths = sorted(left)
+    while times:
+        taken: list[int] = []
+        for k in range(len(config)):
+            at = bisect.bisect_right(lengths, size - sum(taken) - sum(config[k + 1 :])) - 1
+            while left[lengths[at]] <= taken.count(lengths[at]):
+                at -= 1
+            taken.append(lengths[at])
+        step = min([times, *(left[n] // c for n, c in Counter(taken).items())])
+        runs[tuple(taken)] += step
+        times -= step
+        for n, c in Counter(taken).items():
+            left[n] -= c * step
+            if not left[n]:
+                del left[n]
+                lengths.remove(n)
+
+
+def _best_fit(runs: Counter, rest: Counter, size: int) -> list[tuple[tuple[int, ...], int]]:
+    """The rest, longest first, to the tightest room."""
     spare: dict[int, Counter] = defaultdict(Counter)
     for lengths, times in runs.items():
         spare[size - sum(lengths)][lengths] += times
@@ -184,14 +208,6 @@ def _filled(counts: dict[int, int], group: list, used: list[tuple[list[int], int
     return [(lengths, times) for r in sorted(spare) for lengths, times in sorted(spare[r].items()) if lengths]
 
 
-def _take(members: deque, n: int) -> int:
-    length = members[0][0]
-    members[0][1] -= n
-    if not members[0][1]:
-        members.popleft()
-    return length
-
-
 def places(runs: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[list, list]]:
     """By length: first numbers, and (first number, times, first sequence, offsets in a sequence) of the runs with it."""
     out: dict[int, tuple[list, list]] = defaultdict(lambda: ([], []))

@@ -367,6 +367,22 @@ def test_plan_is_never_worse_than_best_fit(shape, n):
         assert n_plan < 0.98 * best_fit(counts, 2048)
 
 
+def test_large_pieces_lie_in_whole_configurations(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = packing.pieces(docs, TOKENIZER).groupBy("length").count().collect()
+    counts = Counter({r["length"]: r["count"] for r in rows})
+    large = sum(c for n, c in counts.items() if n > 512)
+    for groups in packing.GROUPS:
+        runs, left = packing.configured(counts, 2048, groups)
+        held = Counter(left)
+        for lengths, times in runs.items():
+            assert 1 <= len(lengths) <= 3 and sum(lengths) <= 2048 and min(lengths) > 512
+            for n in lengths:
+                held[n] += times
+        assert held == {n: c for n, c in counts.items() if n > 512} and left.total() < 0.01 * large
+    assert sum(times for _, times in packing.plan(counts)) <= best_fit(counts, 2048)
+
+
 def test_licenses(spark, odd, none):
     low = str.maketrans(licenses._UPPER, licenses._LOWER)
     split = lambda x: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", x.translate(low))
