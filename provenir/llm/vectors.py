@@ -2,14 +2,19 @@
 
 The coarse quantiser has a codebook for each half of a vector; a list is a pair of codewords, so lists grow with the corpus (one
 for about PER_LIST vectors of the largest label, up to MAX_WORDS squared) while the codebooks stay small. The residual from the list's
-centroid is coded in SUBSPACES bytes. WIDTH lists that follow one another are a block. A vector searches every block but those
-that no vector within the threshold can be in: its halves' distances to the bisecting hyperplanes of own and other codewords,
-squared and added, exceed the threshold's. That test is exact, however many blocks it leaves.
-
-First round: a block's members come as codes only, in chunks of GROUP, and meet the vectors that search the block, VISITORS at a
-time; of two blocks only the lower one's vectors search the other's. Distances are those to the decoded vectors (asymmetric); what
-lies within the threshold plus the coded vector's own quantisation error is a candidate, so coding loses nothing. Second round: the
-vectors of candidates are fetched for just these meetings and compared by cosine in double precision. Each linked pair is found once and counts
+centroid is coded in SUBSPACES bytes. WIDTH lists that follow one another are a block.
+
+Probes: a vector's halves have distances to the bisecting hyperplanes of own and other codewords; a partner lies in another list only if it is
+off by that much across the hyperplane, so a block is searched if the two distances, squared and added, are within a radius. A partner is
+off by the threshold's radius in all, and across one hyperplane by a share of it: the standard deviation of that share is at most that of the residuals in their
+widest direction. The radius is DEVIATIONS of it, never more than the threshold's (where the search is exact whatever the directions). If
+partners lie as the residuals do, the chance of missing one is below exp(-DEVIATIONS ** 2 / 2), some 4 in a million.
+
+First round: a block's members come as codes only, in chunks of GROUP, and meet the vectors that search the block, VISITORS at a time, each
+rounded to a byte a component; of two blocks only the lower one's vectors search the other's. Distances are asymmetric: a visitor has a table of its products
+with all codewords, a member's distance is the sum of the entries that its codes name. What lies within the threshold plus both
+roundings' errors is a candidate, so coding loses nothing. Second round: the vectors of candidates are fetched for just
+these meetings and compared by cosine in double precision. Each linked pair is found once and counts
 for both ends; a meeting returns counts and the smallest linked vector of each, never its pairs. Codebooks are
 fitted on at most about BOUND vectors; every vector is indexed. Equal vectors are one entry with a multiplicity.
 """
@@ -23,9 +28,9 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 
-BOUND, PER_LIST, MAX_WORDS, WIDTH = 20_000, 256, 2048, 16
-SUBSPACES, CODES, SLICE, GROUP, VISITORS = 8, 64, 512, 4096, 16_384
-SALTS = 64
+BOUND, PER_LIST, MAX_WORDS, WIDTH = 20_000, 256, 2048, 64
+SUBSPACES, CODES, SLICE, GROUP, VISITORS = 16, 256, 128, 16_384, 16_384
+SALTS, DEVIATIONS = 64, 5.0
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -62,6 +67,8 @@ class Index:
         self.parts = np.array_split(np.arange(dim), min(SUBSPACES, dim))
         rest = sample - self._centroid(self._own(sample))
         self.books = [_kmeans(rest[:, p], CODES) for p in self.parts]
+        spread = np.linalg.eigvalsh(rest.T @ rest)
+        self.share = float(np.sqrt(spread[-1] / spread.sum())) if spread.sum() > 1e-9 else 1.0
 
     def _own(self, x: np.ndarray) -> np.ndarray:
         return np.stack([_nearest(x[:, h], c) for h, c in zip(self.halves, self.coarse, strict=True)], 1)
@@ -69,18 +76,25 @@ class Index:
     def _centroid(self, own: np.ndarray) -> np.ndarray:
         return np.concatenate([c[own[:, k]] for k, c in enumerate(self.coarse)], 1)
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """List (two codewords), codes and quantisation error of unit vectors."""
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """List (two codewords), codes, quantisation error and squared length of the coded vector, for unit vectors."""
         own = self._own(x)
         rest = x - self._centroid(own)
         codes = np.stack([_nearest(rest[:, p], b) for p, b in zip(self.parts, self.books, strict=True)], 1).astype(np.uint8)
-        err = np.sqrt(sum(((rest[:, p] - b[codes[:, k]]) ** 2).sum(1) for k, (p, b) in enumerate(zip(self.parts, self.books, strict=True))))
-        return own, codes, err
-
-    def decode(self, own: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        out = self._centroid(own)
+        coded = self._centroid(own)
+        for k, (p, b) in enumerate(zip(self.parts, self.books, strict=True)):
+            coded[:, p] += b[codes[:, k]]
+        return own, codes, np.linalg.norm(x - coded, axis=1), (coded * coded).sum(1)
+
+    def products(self, x: np.ndarray, own: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """(members, visitors): inner products of coded members and visitors, added up from the visitors' tables by code."""
+        x = x.astype(np.float32)
+        out = np.zeros((len(own), len(x)), np.float32)
+        for k, (h, c) in enumerate(zip(self.halves, self.coarse, strict=True)):
+            words, at = np.unique(own[:, k], return_inverse=True)
+            out += (c[words].astype(np.float32) @ x[:, h].T)[at]
         for k, (p, b) in enumerate(zip(self.parts, self.books, strict=True)):
-            out[:, p] += b[codes[:, k]]
+            out += (b.astype(np.float32) @ x[:, p].T)[codes[:, k]]
         return out
 
     def block(self, own: np.ndarray) -> np.ndarray:
@@ -95,7 +109,8 @@ class Index:
         return (np.maximum(d - d[np.arange(len(x)), own[:, k]][:, None] - 1e-9, 0) / (2 * apart + 1e-6)) ** 2
 
     def reach(self, x: np.ndarray, own: np.ndarray, radius: float) -> np.ndarray:
-        """(vectors, blocks): whether a vector within ``radius`` can be in a block."""
+        """(vectors, blocks): whether a block is searched for vectors within ``radius``."""
+        radius *= min(1.0, DEVIATIONS * self.share)
         first, second = self._gaps(x, own, 0), self._gaps(x, own, 1)
         second = np.stack([second[:, k : k + WIDTH].min(1) for k in range(0, second.shape[1], WIDTH)], 1)
         return (first[:, :, None] + second[:, None, :] <= radius**2 + 1e-6).reshape(len(x), -1)
@@ -119,7 +134,7 @@ def near_vectors(vectors: DataFrame, scratch, cosine: float = 0.93) -> DataFrame
     Vectors meet only in equal, non-null labels (of any type) and lengths. Vectors that are null, empty or zero, or hold null or
     non-finite components, have no links and are kept. Rows that repeat a vec_id with one label and vector are one and count once. A vec_id
     with several vectors or labels stands for as many vectors: each row has its own vector's links and component, named by the smallest
-    vec_id in it. A null vec_id links with nothing. Lengths with at most GROUP vectors a label need no codes. An empty table gives none.
+    vec_id in it. A null vec_id links with nothing. Lengths with at most CODES vectors in all need no codes. An empty table gives none.
     """
     radius = float(np.sqrt(2 - 2 * cosine))
     x = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
@@ -152,16 +167,19 @@ def near_vectors(vectors: DataFrame, scratch, cosine: float = 0.93) -> DataFrame
 
     def one(g: pd.DataFrame, d: int) -> pd.DataFrame:
         u = _unit(g.v)
-        out = g[["id", "label", "h1", "h2", "n"]].assign(d=d, block=0, i=0, j=0, codes=b"", err=0.0, reach=[[]] * len(g), u=[x.tobytes() for x in u])
+        out = g[["id", "label", "h1", "h2", "n"]].assign(d=d, block=0, i=0, j=0, codes=b"", err=0.0, length=0.0, reach=[[]] * len(g), u=[x.tobytes() for x in u])
+        step = np.abs(u).max(1) / 127
+        near = np.rint(u / step[:, None])
+        out = out.assign(bytes=[x.tobytes() for x in near.astype(np.int8)], step=step, off=np.linalg.norm(u - near * step[:, None], axis=1))
         if index := indexes.get(d):
-            own, codes, err = index.encode(u)
+            own, codes, err, length = index.encode(u)
             block = index.block(own)
             far = index.reach(u, own, radius) & (np.arange(index.blocks) > block[:, None])
-            out = out.assign(block=block, i=own[:, 0], j=own[:, 1], codes=[c.tobytes() for c in codes], err=err, reach=[np.flatnonzero(f) for f in far])
+            out = out.assign(block=block, i=own[:, 0], j=own[:, 1], codes=[c.tobytes() for c in codes], err=err, length=length, reach=[np.flatnonzero(f) for f in far])
         return out
 
     node = ["id", "h1", "h2"]
-    fields = f"id long, label {kind}, h1 long, h2 long, n long, d int, block int, i int, j int, codes binary, err double, reach array<int>, u binary"
+    fields = f"id long, label {kind}, h1 long, h2 long, n long, d int, block int, i int, j int, codes binary, err double, length double, reach array<int>, u binary, bytes binary, step double, off double"
     coded = scratch.table(entries.select("id", "label", "h1", "h2", "n", "v").mapInPandas(deal, fields))
     at = ["label", "d", "block"]
     visits = coded.withColumn("to", F.explode(F.concat(F.array("block"), "reach")))
@@ -171,12 +189,11 @@ def near_vectors(vectors: DataFrame, scratch, cosine: float = 0.93) -> DataFrame
     met = scratch.table(size.join(of, at).select(*at, F.ceil(F.col("members") / GROUP).cast("int").alias("chunks"), F.ceil(F.col("visitors") / VISITORS).cast("int").alias("turns")))
     deal_to = lambda n, seed: F.pmod(F.xxhash64(*node, F.lit(seed)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    nothing = lambda t: F.lit(None).cast(t)
     shown = coded.join(met, at).withColumn("chunk", deal_to("chunks", 1)).withColumn("turn", every("turns"))
-    shown = shown.select(*at, "chunk", "turn", F.lit(True).alias("held"), F.lit(True).alias("own"), *node, "i", "j", "codes", "err", nothing("binary").alias("u"))
-    asking = visits.select("label", "d", F.col("to").alias("block"), (F.col("to") == F.col("block")).alias("own"), *node, "u").join(met, at)
+    shown = shown.select(*at, "chunk", "turn", F.lit(True).alias("held"), F.lit(True).alias("own"), *node, "i", "j", F.col("codes").alias("packed"), "err", F.col("length").alias("measure"))
+    asking = visits.select("label", "d", F.col("to").alias("block"), (F.col("to") == F.col("block")).alias("own"), *node, "bytes", "step", "off").join(met, at)
     asking = asking.withColumn("turn", deal_to("turns", 2)).withColumn("chunk", every("chunks"))
-    asking = asking.select(*at, "chunk", "turn", F.lit(False).alias("held"), "own", *node, nothing("int").alias("i"), nothing("int").alias("j"), nothing("binary").alias("codes"), nothing("double").alias("err"), "u")
+    asking = asking.select(*at, "chunk", "turn", F.lit(False).alias("held"), "own", *node, F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("bytes").alias("packed"), F.col("off").alias("err"), F.col("step").alias("measure"))
     meeting = [*at, "chunk", "turn"]
     back = [*meeting, "held", "own", *node]
 
@@ -189,14 +206,15 @@ def near_vectors(vectors: DataFrame, scratch, cosine: float = 0.93) -> DataFrame
             return pdf[back].iloc[: len(pdf) if len(pdf) > 2 else 0]
         rq, rm = _numbers(q, m)
         of_q, of_m = np.zeros(len(q), bool), np.zeros(len(m), bool)
-        y = index.decode(m[["i", "j"]].to_numpy(int), np.frombuffer(b"".join(m.codes), np.uint8).reshape(len(m), -1)).astype(np.float32)
-        most = (radius + m.err.to_numpy() + 1e-4) ** 2 - 1 - (y.astype(float) ** 2).sum(1)
+        rows = lambda t, kind: np.frombuffer(b"".join(t.packed), kind).reshape(len(t), -1)
+        own, codes, far = m[["i", "j"]].to_numpy(int), rows(m, np.uint8), radius + m.err.to_numpy() + 1e-4
         for s in range(0, len(q), SLICE):
             t = q.iloc[s : s + SLICE]
-            v = np.frombuffer(b"".join(t.u), np.float64).reshape(len(t), -1).astype(np.float32)
-            near = -2 * (v @ y.T) <= most
-            near &= ~t.own.to_numpy(bool)[:, None] | (rq[s : s + SLICE, None] < rm)  # in one block each pair once
-            of_q[s : s + SLICE], of_m = near.any(1), of_m | near.any(0)
+            v = rows(t, np.int8) * t.measure.to_numpy()[:, None]
+            apart = m.measure.to_numpy()[:, None] + (v * v).sum(1) - 2 * index.products(v, own, codes)
+            near = apart <= (far[:, None] + t.err.to_numpy()) ** 2
+            near &= ~t.own.to_numpy(bool) | (rq[s : s + SLICE] < rm[:, None])  # in one block each pair once
+            of_q[s : s + SLICE], of_m = near.any(0), of_m | near.any(1)
         return pd.concat([q[of_q], m[of_m]])[back]
 
     near = scratch.table(shown.union(asking).groupBy(*meeting).applyInPandas(candidates, f"label {kind}, d int, block int, chunk int, turn int, held boolean, own boolean, id long, h1 long, h2 long"))
