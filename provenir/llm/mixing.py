@@ -70,11 +70,11 @@ def _position(y: Column, g: Column) -> Column:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, passes, position) for each row of ``docs`` (doc_id, text, source).
+    """(doc_id, size, source_size, target, taken, passes, position, again) for each row of ``docs`` (doc_id, text, source).
 
     taken: words of the document before its source's target in the repeated order; the document at the target is taken in
     part, so a source takes its target rounded to whole words. passes: taken as whole documents, halves up. position: time
-    of the first word; null where nothing is taken. Null texts have size 0; a null source is a source of its own, the last;
+    of the first word; again: time of its second pass; null where nothing is taken. Null texts have size 0; a null source is a source of its own, the last;
     rows of equal id follow one another by the hash of their texts, and equal rows in any order; an empty table gives none.
     """
     scratch = Scratch(docs.sparkSession)
@@ -96,11 +96,12 @@ def mix(docs: DataFrame) -> DataFrame:
     start = F.col("before") + F.col("own")
     part = lambda e: F.greatest(F.least(whole - (start + e * F.col("source_size")), F.col("size")), F.lit(0))
     taken = sum((part(e) for e in range(1, EPOCHS)), part(0))
-    y = F.least(start / F.greatest(F.col("target"), F.lit(1.0)), F.lit(1.0))
+    y = lambda words: F.least(words / F.greatest(F.col("target"), F.lit(1.0)), F.lit(1.0))
     return out.select(
         "doc_id", "h", "size", "source_size", "target", taken.alias("taken"),
         F.floor(taken / F.greatest("size", F.lit(1)) + 0.5).cast("int").alias("passes"),
-        F.when(taken > 0, _position(y, F.col("slope"))).alias("position"),
+        F.when(taken > 0, _position(y(start), F.col("slope"))).alias("position"),
+        F.when(part(1) > 0, _position(y(start + F.col("source_size")), F.col("slope"))).alias("again"),
         (start / F.greatest(F.col("target"), F.lit(1.0))).alias("share"), "slope",
     )
 

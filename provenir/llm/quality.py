@@ -25,7 +25,7 @@ for _i, _set in enumerate([b" ", b"\n", b"0123456789", bytes(range(65, 91)), b"#
 
 
 def statistics(text: str | None) -> list[float]:
-    """N_STATS numbers about a whole text; an empty or null text has zeros."""
+    """N_STATS numbers about a whole text (lengths of words in UTF-8 bytes); an empty or null text has zeros."""
     if not text:
         return [0.0] * N_STATS
     raw = text.encode("utf-8", "surrogatepass")

@@ -50,7 +50,8 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"))
-    return out.selectExpr("doc_id", "size", "source_size", "target", "taken", "round(position, 6) + 0.0D AS position")
+    out = out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+    return out.selectExpr("doc_id", "size", "source_size", "target", "taken", "round(position, 6) + 0.0D AS position", "round(again, 6) + 0.0D AS again")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,9 +86,9 @@ QUERIES = {
 
 
 def _license_sql() -> str:
-    """Filters of the join are exact, so SQL needs the containment of full sets alone."""
+    """Filters of the join are exact, so SQL needs the containment of full sets alone: of lines, and of runs of as many words as a template has."""
     phrase = " UNION ALL ".join(f"SELECT {p.split()!r} AS p, '{label}' AS label" for p, label in licenses.PHRASES.items())
-    template = " UNION ALL ".join(f"SELECT list_distinct({t.split()!r}) AS t, '{label}' AS label" for label, t in licenses.TEMPLATES)
+    template = " UNION ALL ".join(f"SELECT {k} AS id, list_distinct({t.split()!r}) AS t, {len(t.split())} AS n, '{label}' AS label" for k, (label, t) in enumerate(licenses.TEMPLATES))
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     low = lambda x: f"regexp_extract_all(translate({x}, '{licenses._UPPER}', '{licenses._LOWER}'), '{word}')"
     return f"""
@@ -99,9 +100,16 @@ def _license_sql() -> str:
         WHERE w[k] = p[1] AND w[k : k + len(p) - 1] = p),
     base AS (SELECT rid, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS own FROM places GROUP BY rid),
     lines AS (SELECT rid, list_distinct({low("line")}) AS b FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d)),
+    spots AS (
+        SELECT rid, id, x.word, pos FROM (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM w) x
+        JOIN (SELECT id, unnest(t) AS word FROM templates) USING (word)),
+    likely AS (SELECT rid, id FROM spots JOIN templates USING (id) GROUP BY rid, id HAVING count(DISTINCT word) * 100 >= {licenses.CONTAINMENT} * any_value(len(t))),
+    runs AS (
+        SELECT rid, label, t, len(list_distinct(list(word) OVER (PARTITION BY rid, id ORDER BY pos RANGE BETWEEN CURRENT ROW AND n - 1 FOLLOWING))) AS o
+        FROM spots JOIN likely USING (rid, id) JOIN templates USING (id)),
     more AS (
         SELECT rid, list(DISTINCT label) AS more, max(o::DOUBLE / len(t)) AS share
-        FROM (SELECT rid, label, t, len(list_intersect(b, t)) AS o FROM lines, templates WHERE len(b) > 0)
+        FROM (SELECT rid, label, t, len(list_intersect(b, t)) AS o FROM lines, templates WHERE len(b) > 0 UNION ALL SELECT * FROM runs)
         WHERE o * 100 >= {licenses.CONTAINMENT} * len(t) GROUP BY rid)
     SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
         coalesce(array_to_string(list_sort(own), ','), '') AS base_labels,
@@ -129,10 +137,11 @@ p AS (
         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.digest, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
     FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 q AS (
-    SELECT *, (greatest(least(round(target)::BIGINT - start, size), 0) + greatest(least(round(target)::BIGINT - start - source_size, size), 0))::BIGINT AS taken,
-        least(start / greatest(target, 1::DOUBLE), 1::DOUBLE) AS y FROM p)
-SELECT doc_id, size, source_size, target, taken,
-    CASE WHEN taken > 0 THEN round(CASE WHEN slope = 0 THEN y ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * y) - (1 - slope)) / (2 * slope) END, 6) + 0.0::DOUBLE END AS position
+    SELECT *, greatest(least(round(target)::BIGINT - start, size), 0) AS one, greatest(least(round(target)::BIGINT - start - source_size, size), 0) AS two,
+        least(start / greatest(target, 1::DOUBLE), 1::DOUBLE) AS y, least((start + source_size) / greatest(target, 1::DOUBLE), 1::DOUBLE) AS z FROM p)
+SELECT doc_id, size, source_size, target, (one + two)::BIGINT AS taken,
+    CASE WHEN one + two > 0 THEN round(CASE WHEN slope = 0 THEN y ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * y) - (1 - slope)) / (2 * slope) END, 6) + 0.0::DOUBLE END AS position,
+    CASE WHEN two > 0 THEN round(CASE WHEN slope = 0 THEN z ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * z) - (1 - slope)) / (2 * slope) END, 6) + 0.0::DOUBLE END AS again
 FROM q"""
 
 def _words_sql(text: str) -> str:
