@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
+import struct
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -68,6 +72,10 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+LETTERS = "".join(c for c in map(chr, range(256)) if c.isalpha())
+MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+
+
 class Encoder:
     """Token ids of whole texts as little-endian 32-bit bytes, the same as encoding each text in one call.
 
@@ -97,7 +105,8 @@ class Encoder:
         if found is None:
             low = word.lower()
             shown = low if low.isascii() else "".join(map(self.alphabet.__getitem__, low.encode()))
-            found = self.known[word] = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(shown))
+            ids = [t.id for t in self.model.tokenize(shown)]
+            found = self.known[word] = struct.pack(f"<{len(ids)}I", *ids)
         return found
 
     def _piece(self, piece: str) -> bytes:
@@ -116,3 +125,34 @@ class Encoder:
             if p not in known:
                 known[p] = self._piece(p)
         return b"".join(map(known.__getitem__, pieces))
+
+    def batch(self, texts: pa.Array) -> Iterator[bytes]:
+        """``encode`` of each text of an Arrow array: Arrow finds the distinct pieces, and only these are encoded.
+
+        Most are a word of LETTERS and then MARKS: two pre-tokens, whose ids follow each other. The rest goes through ``_piece``.
+        """
+        if len(self.known) > self.keep:
+            self.known.clear()
+        pieces = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
+        coded = pieces.flatten().dictionary_encode()
+        found = coded.dictionary
+        plain = pc.match_substring_regex(found, f"^[{LETTERS}]+[{re.escape(MARKS)}]*$")
+        low = pc.utf8_lower(found.filter(plain))
+        core, marks = pc.utf8_rtrim(low, MARKS).dictionary_encode(), pc.utf8_ltrim(low, LETTERS).dictionary_encode()
+        after = pa.array(map(self._ids, marks.dictionary.to_pylist()), pa.large_binary())
+        words = pa.array(map(self._word, core.dictionary.to_pylist()), pa.large_binary())
+        joined = pc.binary_join_element_wise(words.take(core.indices), after.take(marks.indices), pa.scalar(b"", pa.large_binary()))
+        rest = pa.array(map(self._piece, found.filter(pc.invert(plain)).to_pylist()), pa.large_binary())
+        at = np.empty(len(found), np.int64)
+        at[np.argsort(~np.asarray(plain), kind="stable")] = np.arange(len(found))
+        ids = pa.concat_arrays([joined, rest]).take(pa.array(at)).take(coded.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset :][np.asarray(pieces.offsets) - pieces.offsets[0].as_py()]
+        raw = memoryview(ids.buffers()[2] or b"")
+        return (bytes(raw[a:b]) for a, b in itertools.pairwise(ends.tolist()))
+
+
+def slices(batch: pa.RecordBatch, column: int, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about ``size`` bytes of the texts in ``column``, a longer text at most more."""
+    part = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // size
+    starts = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), batch.num_rows]
+    return (batch.slice(a, b - a) for a, b in itertools.pairwise(starts))

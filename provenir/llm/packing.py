@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Encoder
+from .common import Encoder, slices
 
 SIZE, END_ID, GROUPS, ROUNDS = 2048, 0, (48, 96, 256), 24
 
@@ -37,11 +37,10 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
         code, part = Encoder(tokenizer), TaskContext.get().partitionId()
         seen: Counter = Counter()
         for b in batches:
-            for k in range(0, b.num_rows, 1000):
-                s = b.slice(k, 1000)
+            for s in slices(b, 1):
                 out = []
-                for i, t in zip(s.column(0).to_pylist(), s.column(1).to_pylist(), strict=True):
-                    ids = code.encode(t) + end
+                for i, x in zip(s.column(0).to_pylist(), code.batch(s.column(1)), strict=True):
+                    ids = x + end
                     for p, a in enumerate(range(0, len(ids), 4 * size)):
                         x = ids[a : a + 4 * size]
                         n = len(x) // 4

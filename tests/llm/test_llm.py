@@ -9,13 +9,14 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from provenir.llm import langid, licenses, minhash, mixing, packing, quality, queries, rules, tokens, toxicity, vectors
-from provenir.llm.common import Encoder
+from provenir.llm.common import Encoder, slices
 from provenir.session import Scratch
 
 DIR = "/root/testdata/sf0.01"
@@ -263,6 +264,45 @@ def test_encoder_equals_whole_texts(odd):
         assert e.encode(r["text"]) == np.array(ids, "<u4").tobytes()
 
 
+def test_batches_equal_whole_texts(odd):
+    t, e = Tokenizer.from_file(TOKENIZER), Encoder(TOKENIZER, keep=50)
+    g = random.Random(3)
+    signs = [*map(chr, range(256)), "Ā", "ſ", "K", "İ", "\u0301", "\u0331", "’", "中", "😀", "<|endoftext|>", "<|ENDOFTEXT|>", "'s", "'LL", "ªº", "²", "a<|startoftext|>", "..", "Word", "été", "ÀÉ", "µ", "ÿ"]
+    texts = [None, *(r["text"] for r in odd.collect()), None, "", *signs, *("x" + s for s in signs), *(s + "H" for s in signs)]
+    texts += ["".join(g.choice(signs) for _ in range(g.randrange(1, 9))) for _ in range(3000)] + [" ".join(g.choice(signs) for _ in range(30)) for _ in range(300)]
+    want = [np.array(t.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    column = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    for size in (1, 900, 1 << 20):
+        parts = list(slices(column, 0, size))
+        assert sum(p.num_rows for p in parts) == len(texts) and all(sum(len((x or "").encode()) for x in p.column(0).to_pylist()[1:]) < size for p in parts)
+        assert [x for p in parts for x in e.batch(p.column(0))] == want
+    assert list(e.batch(column.column(0).slice(7, 40))) == want[7:47] and list(e.batch(pa.array([], pa.string()))) == []
+    assert list(e.batch(pa.array([None, ""], pa.string()))) == [b"", b""] and not list(slices(column.slice(0, 0), 0))
+
+
+def test_batches_look_distinct_words_up_once():
+    class Counted(dict):
+        n = 0
+
+        def get(self, *a):
+            self.n += 1
+            return super().get(*a)
+
+        def __contains__(self, x):
+            self.n += 1
+            return super().__contains__(x)
+
+        def __getitem__(self, x):
+            self.n += 1
+            return super().__getitem__(x)
+
+    texts = ["One word, one WORD; another one. été Été!"] * 500
+    each, together = Encoder(TOKENIZER), Encoder(TOKENIZER)
+    each.known, together.known = Counted(each.known), Counted(together.known)
+    assert [each.encode(x) for x in texts] == list(together.batch(pa.array(texts)))
+    assert set(together.known) >= {"one", "word", "another", "été"} and together.known.n == 4 and each.known.n > 8000
+
+
 def test_tokens(spark, odd, none, tmp_path, monkeypatch):
     t = Tokenizer.from_file(TOKENIZER)
     folder = str(tmp_path / "out")
