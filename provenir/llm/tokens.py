@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Encoder
+from .common import Encoder, slices
 
 END_ID = 1
 FRAME_BYTES, FILE_BYTES = 1 << 20, 1 << 28
@@ -113,7 +113,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
         code = Encoder(tokenizer)
         fs, p = _filesystem(folder)
         fs.create_dir(p, recursive=True)
-        rows = ((i.as_py(), code.encode(t.as_py()) + end) for b in batches for i, t in zip(b.column(0), b.column(1), strict=True))
+        rows = ((i, x + end) for b in batches for s in slices(b, 1) for i, x in zip(s.column(0).to_pylist(), code.batch(s.column(1)), strict=True))
         first = next(rows, None)
         for k in itertools.count():
             if first is None:

@@ -329,6 +329,44 @@ def test_tokens(spark, odd, none, tmp_path, monkeypatch):
     assert more.count() > 2 * files.count() and sorted(tokens.read_tokens(spark, more).collect(), key=lambda r: r["start"]) == got
 
 
+def test_tokens_look_distinct_words_up_once(spark, tmp_path, monkeypatch):
+    """500 texts of the same words: a task that looked each text's words up would need thousands of lookups."""
+
+    class Few(dict):
+        left = 100
+
+        def spend(self):
+            self.left -= 1
+            assert self.left >= 0, "looked up text by text"
+
+        def get(self, *a):
+            self.spend()
+            return super().get(*a)
+
+        def __contains__(self, x):
+            self.spend()
+            return super().__contains__(x)
+
+        def __getitem__(self, x):
+            self.spend()
+            return super().__getitem__(x)
+
+    class Limited(Encoder):
+        def __init__(self, path):
+            super().__init__(path)
+            self.known = Few(self.known)
+
+    monkeypatch.setattr(tokens, "Encoder", Limited)
+    texts = ["One word, one WORD; another one. été Été!", None, "", "One  word\n\tit's <|endoftext|> 中"] * 500
+    docs = spark.createDataFrame([(len(texts) - k, x) for k, x in enumerate(texts)], "doc_id long, text string")
+    files = Scratch(spark).table(tokens.write_tokens(docs, str(tmp_path / "out"), TOKENIZER))
+    got, start, t = sorted(tokens.read_tokens(spark, files).collect(), key=lambda r: r["start"]), 0, Tokenizer.from_file(TOKENIZER)
+    want = {x: np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4") for x in set(texts)}
+    for k, (r, x) in enumerate(zip(got, reversed(texts), strict=True)):
+        assert tuple(r) == (k + 1, start, len(want[x]), zlib.crc32(want[x].tobytes()))
+        start += len(want[x])
+
+
 def packed_well(rows, texts):
     t = Tokenizer.from_file(TOKENIZER)
     ids = {i: np.array([*t.encode(x or "", add_special_tokens=False).ids, 0], "<u4") for i, x in texts.items()}
