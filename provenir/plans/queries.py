@@ -201,7 +201,9 @@ SELECT event_id, user_id, CASE WHEN count(pid) = 1 THEN min(pid) END AS nearest_
 @query(_NEAR)
 def q_nearest_event(spark, d):
     """The purchase nearest to each signup of the same user, ties ambiguous; times in whole seconds."""
-    e = t(spark, d, "events").select("event_id", "user_id", F.date_trunc("second", "ts").alias("ts"), "event_type")
+    # Rounded, halves to the even second, as the SQL's cast does.
+    second = F.timestamp_seconds(F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long"))
+    e = t(spark, d, "events").select("event_id", "user_id", second.alias("ts"), "event_type")
     s, p = e.where("event_type = 'signup'").drop("event_type"), e.where("event_type = 'purchase'").drop("event_type")
     return evidence.nearest(s, p, ["user_id"], "ts", "ts", "event_id").select("event_id", "user_id", "nearest_id", "ambiguous")
 
