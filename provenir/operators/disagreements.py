@@ -95,7 +95,7 @@ def disagreements(values: DataFrame, events: DataFrame, verdict: Callable[[Colum
     others = lambda i: F.filter(places, lambda j: (i != j) & ~(sure(j) & (j < i)) & ~parts(i, j) & (said(i, j) == "disagrees"))
     against = lambda i: F.concat(F.filter(F.array(F.lit(0)), lambda k: said(i, k) == "disagrees"), others(i))
     pairs = F.flatten(F.transform(F.filter(places, sure), lambda i: F.transform(against(i), lambda j: F.when(j == 0, pair(j, i)).otherwise(pair(i, j)))))
-    g = g.withColumn("pairs", pairs).where(F.size("pairs") > 0)
+    g = g.withColumn("pairs", pairs)
     # Nodes in the order in which the comparisons found them, each joining the first side it agrees with throughout.
     nodes = F.array_distinct(F.flatten(F.transform("pairs", lambda p: F.array(p["a"], p["b"]))))
     g = g.withColumn("nodes", nodes)
@@ -107,7 +107,8 @@ def disagreements(values: DataFrame, events: DataFrame, verdict: Callable[[Colum
     g = g.withColumn("sides", F.aggregate("nodes", F.array().cast("array<array<int>>"), join))
     side_of = lambda k: F.array_position(F.transform("sides", lambda s: F.array_contains(s, k)), True).cast("int")
     between = F.array_distinct(F.filter(F.transform("pairs", lambda p: F.struct(F.least(side_of(p["a"]), side_of(p["b"])).alias("x"), F.greatest(side_of(p["a"]), side_of(p["b"])).alias("y"))), lambda p: p["x"] != p["y"]))
-    out = g.select("event", "vs", "sides", F.explode(between).alias("p"))
+    # A filter on pairs or on what explode is given would be moved below all of this and make it again for each verdict looked at; one on what comes out stays.
+    out = g.select("event", "vs", "sides", F.explode_outer(between).alias("p")).where("p IS NOT NULL")
     # The side with the tree comes first, else the one found first.
     swap = F.array_contains(F.get("sides", F.col("p.y") - 1), 0)
     records = lambda k: F.flatten(F.transform(F.get("sides", k - 1), lambda m: F.when(m == 0, F.array(F.lit(None).cast("string"))).otherwise(F.transform(F.get("vs", m - 1)["by"], lambda b: b["record"].cast("string")))))
